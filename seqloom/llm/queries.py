@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.llm import digest as dg
-from seqloom.llm import distinctive, records, set_join, top_n
+from seqloom.llm import distinctive, packing, records, set_join, shared_spans, tokens, top_n
 from seqloom.session import table
 
 # ---- 2 ---------------------------------------------------------------------
@@ -120,6 +120,24 @@ def p4_periods(spark, sf_dir):
     return one("identity").unionByName(one("alignment_len"))
 
 
+# ---- 5 ---------------------------------------------------------------------
+
+
+def _sequence_records(spark, sf_dir):
+    return shared_spans.all_records(table(spark, sf_dir, "sequences"), table(spark, sf_dir, "unitigs"))
+
+
+def p5_found(spark, sf_dir):
+    spans = shared_spans.shared_spans(_sequence_records(spark, sf_dir))
+    return shared_spans.named(spans).select("rec_kind", "rec_id", "span_start", "span_end")
+
+
+def p5_shares(spark, sf_dir):
+    recs = _sequence_records(spark, sf_dir)
+    rows = shared_spans.named(shared_spans.shared_share(recs, shared_spans.shared_spans(recs)))
+    return rows.select("rec_kind", "rec_id", "n_letters", "n_spans", "n_shared", F.round("share", 6).alias("share"))
+
+
 # ---- 6 ---------------------------------------------------------------------
 
 
@@ -141,7 +159,32 @@ def p6_ranked(spark, sf_dir):
     )
 
 
-QUERIES = [p2_found, p2_scores, p2_unitig_idf, p3_found, p3_classes, p4_found, p4_species, p4_periods, p6_found, p6_ranked]
+# ---- 7 ---------------------------------------------------------------------
+
+
+def p7_ids(spark, sf_dir):
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_counts(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+# ---- 8 ---------------------------------------------------------------------
+
+
+def p8_pack(spark, sf_dir):
+    return packing.pack_corpus(table(spark, sf_dir, "documents"))
+
+
+def p8_use(spark, sf_dir):
+    return packing.container_use(packing.pack_corpus(table(spark, sf_dir, "documents")))
+
+
+QUERIES = [
+    p2_found, p2_scores, p2_unitig_idf, p3_found, p3_classes, p4_found, p4_species, p4_periods, p5_found, p5_shares,
+    p6_found, p6_ranked, p7_ids, p7_counts, p8_pack, p8_use,
+]
 
 _USABLE = r"""
 usable AS (
@@ -179,6 +222,21 @@ SELECT '{kind}' AS kind, CAST(id_a AS INTEGER) AS id_a, CAST(id_b AS INTEGER) AS
   SELECT id_a, id_b FROM p JOIN s a ON a.id = id_a JOIN s b ON b.id = id_b WHERE 10 * c >= 8 * (a.n + b.n - c))"""
 
 
+_SPANS = """
+WITH recs AS (
+  SELECT 'sequence' AS kind, CAST(seq_id AS BIGINT) AS id, max_by(upper(coalesce(seq, '')), (length(coalesce(seq, '')), upper(coalesce(seq, '')))) AS txt
+  FROM sequences WHERE seq_id IS NOT NULL GROUP BY seq_id
+  UNION ALL SELECT 'unitig', CAST(unitig_id AS BIGINT), max_by(upper(coalesce(sequence, '')), (length(coalesce(sequence, '')), upper(coalesce(sequence, ''))))
+  FROM unitigs WHERE unitig_id IS NOT NULL GROUP BY unitig_id
+), w AS (
+  SELECT kind, id, pos, substr(txt, CAST(pos + 1 AS BIGINT), 50) AS g FROM (SELECT *, unnest(range(greatest(length(txt) - 49, 0))) AS pos FROM recs)
+), ok AS (SELECT * FROM w WHERE NOT regexp_matches(g, '[^ACGT]')),
+s AS (SELECT g FROM ok GROUP BY g HAVING count(DISTINCT (kind, id)) > 1),
+h AS (SELECT kind, id, pos FROM ok SEMI JOIN s USING (g)),
+b AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY kind, id ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS new FROM h),
+r AS (SELECT *, sum(new) OVER (PARTITION BY kind, id ORDER BY pos) AS run FROM b),
+spans AS (SELECT kind, id, min(pos) AS lo, max(pos) AS hi FROM r GROUP BY kind, id, run)"""
+
 SQL = {
     "p2_found": f"""WITH {_MEMBERS}
 SELECT query_name, genome_id FROM ins JOIN recs USING (genome_id) JOIN sizes USING (query_name)
@@ -205,6 +263,12 @@ med AS (SELECT s.summary_id, s.median_identity, median(r.identity) AS m
   FROM species_summary s JOIN recs r ON r.query_name = s.query_name AND r.species = s.species AND r.run_day BETWEEN s.day_from AND s.day_to
   WHERE s.median_identity IS NOT NULL AND NOT isnan(s.median_identity) GROUP BY ALL)
 SELECT summary_id FROM med WHERE abs(median_identity - m) > 0.005""",
+    "p5_found": f"""{_SPANS}
+SELECT kind AS rec_kind, id AS rec_id, CAST(lo AS INTEGER) AS span_start, CAST(hi + 50 AS INTEGER) AS span_end FROM spans""",
+    "p5_shares": f"""{_SPANS},
+sums AS (SELECT kind, id, count(*) AS n_spans, sum(hi + 50 - lo) AS n FROM spans GROUP BY ALL)
+SELECT kind AS rec_kind, id AS rec_id, length(txt) AS n_letters, coalesce(n_spans, 0) AS n_spans, CAST(coalesce(n, 0) AS BIGINT) AS n_shared,
+  round(CASE WHEN length(txt) > 0 THEN coalesce(n, 0) / length(txt) ELSE 0 END, 6) AS share FROM recs LEFT JOIN sums USING (kind, id)""",
     "p6_found": f"""WITH {_USABLE},
 a AS (SELECT *, row_number() OVER (PARTITION BY query_name ORDER BY num_matches DESC, alignment_len, rec_id) AS rn FROM recs),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_name, genome_id ORDER BY containment DESC, hit_id) AS one FROM containment_hits
