@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.llm import digest as dg
-from seqloom.llm import distinctive, packing, records, set_join, shared_spans, tokens, top_n
+from seqloom.llm import distinctive, packing, records, set_join, shared_spans, text_quality, tokens, top_n
 from seqloom.session import table
 
 # ---- 2 ---------------------------------------------------------------------
@@ -181,9 +181,24 @@ def p8_use(spark, sf_dir):
     return packing.container_use(packing.pack_corpus(table(spark, sf_dir, "documents")))
 
 
+# ---- 9 ---------------------------------------------------------------------
+
+
+def _quality(spark, sf_dir):
+    return text_quality.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p9_found(spark, sf_dir):
+    return _quality(spark, sf_dir).where("is_junk").select("doc_id")
+
+
+def p9_stats(spark, sf_dir):
+    return _quality(spark, sf_dir)
+
+
 QUERIES = [
     p2_found, p2_scores, p2_unitig_idf, p3_found, p3_classes, p4_found, p4_species, p4_periods, p5_found, p5_shares,
-    p6_found, p6_ranked, p7_ids, p7_counts, p8_pack, p8_use,
+    p6_found, p6_ranked, p7_ids, p7_counts, p8_pack, p8_use, p9_found, p9_stats,
 ]
 
 _USABLE = r"""
