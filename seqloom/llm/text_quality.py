@@ -178,6 +178,7 @@ class Judge:
         line_start = np.append(True, nl[:-1])
         line = np.cumsum(line_start) - 1
         ls, le = np.flatnonzero(line_start), np.flatnonzero(nl)
+        ended = (col("ends") > 0) | (nl & ~line_start & (col("number_enum") > 0) & (col("punct_end") > 0))
         line_doc = doc[ls]
         out["n_lines"] = per(np.ones(len(ls)), line_doc)
         out["punct_lines"] = per(col("punct_end")[le], line_doc)
@@ -191,13 +192,23 @@ class Judge:
         nxt = lambda x, fill: np.append(x[1:], fill)
         next_lower = nxt(col("lower") > 0, False)
         next_upper = nxt((col("upper_start") > 0) | (col("digit") > 0), True)
-        ended = col("ends") > 0
         cells_in_line = line_sum(col("cell") + leader)
         flat_line = (col("lower")[ls] > 0) & (line_sum(ended) == 0) & (line_sum(col("sep")) > 0)
         flat_line &= line_sum((col("upper_start") > 0) & (col("common") > 0)) == 0
-        turn = np.append(True, (flat_line[1:] != flat_line[:-1]) | (line_doc[1:] != line_doc[:-1]))
-        run = np.cumsum(turn) - 1
-        listed = flat_line & (np.bincount(run)[run] >= LIST_RUN)
+        # lines of one noun phrase each: they begin with a capital that no function word has, hold
+        # nothing that begins or ends a sentence inside, and many of them end without a stop
+        size_line = line_sum(np.ones(m))
+        cells_line = line_sum(col("cell") + leader)
+        opens = line_sum((col("upper_start") > 0) & (col("common") > 0)) == 0
+        item = (col("upper_start")[ls] > 0) & opens & (line_sum(ended) - ended[le] == 0) & (cells_line == 0)
+        item &= (size_line >= 4) & (size_line <= 18)
+        listed = np.zeros(len(ls), bool)
+        for which, open_share in ((flat_line, 0.0), (item, 0.3)):
+            turn = np.append(True, (which[1:] != which[:-1]) | (line_doc[1:] != line_doc[:-1]))
+            run = np.cumsum(turn) - 1
+            length = np.bincount(run)
+            unended = np.bincount(run, weights=~ended[le])
+            listed |= which & ((length >= LIST_RUN) & (unended >= open_share * length))[run]
         soft = nl & ~listed[line] & ~last_of_doc & ~ended & next_lower & (cells_in_line[line] == 0) & (line_sum(np.ones(m))[line] >= 4)
         gap = (col("gap") > 0) & ~nxt(leader, False) & ~leader
         cut = last_of_doc | (nl & ~soft) | (ended & next_upper) | gap
