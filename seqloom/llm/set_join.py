@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import salted_lookup
+from seqloom.session import cut, salted_lookup
 
 
 def _need(n: Column, t: float) -> Column:
@@ -109,8 +109,9 @@ def class_pairs(reps: DataFrame, threshold: float, hot: int = 200) -> DataFrame:
 
 
 def _parts(elements: DataFrame, threshold: float, min_size: int, hot: int):
-    sets = ordered_sets(elements, min_size)
-    reps = classes(sets)
+    # both are read several times below; reliable checkpoints keep the plan small and the work single
+    sets = cut(ordered_sets(elements, min_size))
+    reps = cut(classes(sets))
     return sets, reps, membership(sets, reps), class_pairs(reps, threshold, hot)
 
 
