@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import signal_loading
+from seqloom.plans import searching, signal_loading
 
-FLAGSHIP = "p1_found"
-MODULES = [signal_loading]
+FLAGSHIP = "prevalence"
+MODULES = [signal_loading, searching]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
