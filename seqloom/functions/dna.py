@@ -139,6 +139,25 @@ def explode_kmers(df: DataFrame, key_cols: list[str], seq_col: str, k: int) -> D
     return src.mapInArrow(run, f"{fields}, pos int, kmer bigint, is_rc boolean")
 
 
+def explode_kmers_of(df: DataFrame, key_cols: list[str], seq_col: str, ks: list[int]) -> DataFrame:
+    """The same for several k in one pass over the texts: (keys..., k, pos, kmer, is_rc)."""
+    src = df.select(*key_cols, F.col(seq_col).alias("_seq"))
+    fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in key_cols)
+
+    def run(batches):
+        for batch in batches:
+            for k in ks:
+                for row, pos, word, rc in kmers_of(batch.column(len(key_cols)), k):
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(i).take(take) for i in range(len(key_cols))]
+                        + [pa.array(np.full(len(row), k, np.int32)), pa.array(pos.astype(np.int32)), pa.array(word), pa.array(rc)],
+                        names=[*key_cols, "k", "pos", "kmer", "is_rc"],
+                    )
+
+    return src.mapInArrow(run, f"{fields}, k int, pos int, kmer bigint, is_rc boolean")
+
+
 def sampled_kmers(queries: DataFrame, key_cols: list[str], seq_col: str, k: int, target: int = 384) -> DataFrame:
     """(keys..., n_sampled, pos, kmer): windows at 0, stride, 2 stride, ... with stride = max((len - k + 1) div
     target, 1).  ``n_sampled`` counts windows with other letters too; those give no row, so keys all of whose

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqloom.config import SearchConfig
 from seqloom.functions import stats
-from seqloom.functions.dna import explode_kmers, sampled_kmers
+from seqloom.functions.dna import explode_kmers, explode_kmers_of, sampled_kmers
 from seqloom.session import salted_lookup
 
 
@@ -106,29 +106,38 @@ def rank_candidates(scored: DataFrame, most: int | None = None) -> DataFrame:
 def adaptive_containment(queries: DataFrame, contigs: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Each query at its own k (by length), then at smaller ones while it finds nothing.
 
-    At most one pass over the contigs for each k in use; queries that are answered leave the
-    later passes (anti-join).  The loop runs over k values, never over rows.
+    All k in use are taken in one pass over the contigs, of which only words that some query
+    samples at that k are kept; of each query the largest k with a hit counts.
     """
     n = genome_count(contigs)
-    pick = stats.adaptive_k_cross_species if config.cross_species else stats.adaptive_k
-    todo = queries.withColumn("_k", pick(F.length("seq"), config.kmer_size))
-    ks = sorted({f for r in todo.select("_k").distinct().collect() for f in stats.fallback_ks(r[0])}, reverse=True)
     least = 7 if config.cross_species else 15
-    done, parts = None, []
-    for k in ks:
-        # k is on the ladder of _k: _k, _k - 4, ..., and the least
-        due = (F.col("_k") >= k) & (((F.col("_k") - k) % 4 == 0) | (F.lit(k) == least))
-        now = todo.where(due)
-        if done is not None:
-            now = now.join(done, "query_name", "left_anti")
-        part = containment(now, contigs, config, k, n).withColumn("k", F.lit(k))
-        parts.append(part)
-        found = part.select("query_name").distinct()
-        done = found if done is None else done.unionByName(found)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pick = stats.adaptive_k_cross_species if config.cross_species else stats.adaptive_k
+    own = queries.select("query_name", "seq", pick(F.length("seq"), config.kmer_size).cast("int").alias("_own"), F.length("seq").alias("_len"))
+    ks = sorted({k for r in own.select("_own").distinct().collect() for k in stats.fallback_ks(r[0], least)})  # at most 25 values
+    total = F.col("_len") - F.col("k") + 1
+    stride = F.greatest(F.floor(total / config.sample_target), F.lit(1)).cast("int")
+    on_ladder = (F.col("k") <= F.col("_own")) & (((F.col("_own") - F.col("k")) % 4 == 0) | (F.col("k") == least))
+    samples = (
+        explode_kmers_of(own, ["query_name", "_own", "_len"], "seq", ks)
+        .where(on_ladder & (F.col("pos") % stride == 0))
+        .select("query_name", "k", (F.floor((total - 1) / stride) + 1).cast("int").alias("n_sampled"), "pos", "kmer")
+    )
+    wanted = samples.select("k", "kmer").distinct()
+    pairs = (
+        explode_kmers_of(contigs, ["genome_id"], "seq", ks).join(wanted, ["k", "kmer"], "left_semi")
+        .groupBy("k", "kmer", "genome_id").agg(F.count(F.lit(1)).alias("n"))
+    )
+    freq = (
+        pairs.groupBy("k", "kmer").agg(F.sum("n").alias("_freq"), F.count(F.lit(1)).alias("card"))
+        .where(F.col("_freq") <= config.max_seed_freq)
+    )
+    hits = samples.join(pairs.join(freq, ["k", "kmer"]).select("k", "kmer", "genome_id", "card"), ["k", "kmer"])
+    scored = hits.groupBy("query_name", "k", "n_sampled", "genome_id").agg(
+        F.count(F.lit(1)).alias("shared"), F.sum(stats.information_content(float(n), "card")).alias("info_score")
+    )
+    first = scored.withColumn("_top", F.max("k").over(Window.partitionBy("query_name"))).where(F.col("k") == F.col("_top")).drop("_top")
+    ani = F.pow((F.col("shared") + 1.0) / (F.col("n_sampled") + 2.0), 1.0 / F.col("k"))
+    return rank_candidates(add_posteriors(first, config.kmer_size).withColumn("bayes_ani", ani).drop("ani_ci"), config.max_candidates)
 
 
 def prevalence(queries: DataFrame, contigs: DataFrame, k: int = 31, target: int = 200, max_freq: int = 10_000) -> DataFrame:
