@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import searching, signal_loading, signalling
+from seqloom.plans import reporting, searching, signal_loading, signalling
 
 FLAGSHIP = "prevalence"
-MODULES = [signal_loading, searching, signalling]
+MODULES = [signal_loading, searching, signalling, reporting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
