@@ -33,10 +33,12 @@ def append_genomes(stream: DataFrame, folder: str, checkpoint: str, k: int = 31)
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Reads assembled from (user_id, ts, value): one per user and session, with count, mean and extremes.
     Works on a stream (with a watermark) and on a table alike."""
+    kind = events.schema["ts"].dataType.simpleString()
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need the type with time zone
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return (
         rows.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
         .groupBy(F.session_window("ts", gap).alias("w"), "user_id")
         .agg(F.count(F.lit(1)).alias("n_values"), F.avg("value").alias("mean_value"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_values", "mean_value", "low", "high")
+        .select("user_id", F.col("w.start").cast(kind).alias("started"), F.col("w.end").cast(kind).alias("ended"), "n_values", "mean_value", "low", "high")
     )
