@@ -99,7 +99,7 @@ def token_features(fragment: str, common: frozenset[str]) -> tuple[int, ...]:
     is_common = low in common or (("'" in low or "’" in low) and any(p in common for p in re.split(r"['’]", low) if len(p) > 1))
     symbols = sum(1 for c in t if not c.isalnum() and c not in _PLAIN)
     dots = len(t) > 0 and not t.strip("._…·")
-    ends = bool(_SENTENCE_END.search(t)) and t.lower() not in _ABBREVIATIONS
+    ends = bool(_SENTENCE_END.search(t[-64:])) and t.lower() not in _ABBREVIATIONS
     cells = t.count("|") + after.count("\t") + max(0, len(re.findall(r"[;,]\"|\";|;(?=[0-9\"])", t)) - 0)
     redacted = bool(t) and not t.strip("█*[]()…x.X_") and not dots
     return (
