@@ -101,7 +101,7 @@ def token_features(fragment: str, common: frozenset[str]) -> tuple[int, ...]:
     dots = len(t) > 0 and not t.strip("._…·")
     ends = bool(_SENTENCE_END.search(t[-64:])) and t.lower() not in _ABBREVIATIONS
     cells = t.count("|") + after.count("\t") + max(0, len(re.findall(r"[;,]\"|\";|;(?=[0-9\"])", t)) - 0)
-    redacted = bool(t) and not t.strip("█*[]()…x.X_") and not dots
+    redacted = 0 < len(t) <= MAX_TOKEN and not t.strip("█*[]()…x.X_") and not dots
     return (
         len(t), is_word, lower, caps, is_common, digits > 0, symbols, ends, any(c in "\n\r\f\v" for c in after),
         after.count(" ") >= 2, dots and (len(t) >= 3 or len(t) == 1), cells, t in _BULLETS, bool(_LETTER_ENUM.match(t)),
