@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import aligning, reporting, searching, signal_loading, signalling
+from seqloom.plans import aligning, reporting, searching, seeding, signal_loading, signalling
 
 FLAGSHIP = "prevalence"
-MODULES = [signal_loading, searching, signalling, reporting, aligning]
+MODULES = [signal_loading, searching, signalling, reporting, aligning, seeding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
