@@ -45,6 +45,7 @@ MIN_CLEAN = 0.5  # tokens that are words or plain numbers
 MAX_NUMBERS = 0.4  # tokens with digits
 MAX_PERIOD, LOOPED = 12, 0.8  # tokens that stand alike up to so many tokens before
 MAX_HEADINGS = 8  # headings without text to head
+MIN_UNITS = 4  # lines that head nothing if none of them is running text
 MAX_TOKEN = 40  # characters of a word
 LIST_RUN = 4  # consecutive lines that begin in lower case, hold a separator and no sentence end or beginning
 # thresholds of documents (published values)
@@ -104,7 +105,7 @@ def token_features(fragment: str, common: frozenset[str]) -> tuple[int, ...]:
     redacted = 0 < len(t) <= MAX_TOKEN and not t.strip("█*[]()…x.X_") and not dots
     return (
         len(t), is_word, lower, caps, is_common, digits > 0, symbols, ends, any(c in "\n\r\f\v" for c in after),
-        after.count(" ") >= 2, dots and (len(t) >= 3 or len(t) == 1), cells, t in _BULLETS, bool(_LETTER_ENUM.match(t)),
+        after.count(" ") >= 2, dots, cells, t in _BULLETS, bool(_LETTER_ENUM.match(t)),
         core[:1].isupper(), redacted, bool(t), letters, len(core) == 1 and core.isalpha() and core.isupper(),
         bool(_NUMBER_ENUM.match(t)), bool(_DOCKET.match(core)), t[-1:] in set(".!?…\"”“»"),
         t[-1:] in set(",:;") or t in _BULLETS, len(t) > MAX_TOKEN,
@@ -276,9 +277,9 @@ class Judge:
         reason = np.full(k, REASONS.index("too_short"))
         for name, mask in (("no_common_words", ~spoken & (size >= MIN_WORDS_ENDED)), ("numbers", numbers), ("symbols", symbols | ~clean), ("bullet", bullet), ("list", listed[u_line]), ("repeated", looped), ("leader", lead), ("table", table)):
             reason[mask] = REASONS.index(name)
-        # page lines with hardly any text between them head nothing
+        # page lines with hardly any text between them head nothing, nor do a few lines without any text
         n_neutral, c_neutral, c_prose = per(neutral, u_doc), per(u_chars * neutral, u_doc), per(u_chars * prose, u_doc)
-        hollow = (n_neutral > MAX_HEADINGS) & (c_neutral > c_prose)
+        hollow = ((n_neutral > MAX_HEADINGS) & (c_neutral > c_prose)) | ((c_prose == 0) & (per(np.ones(k), u_doc) >= MIN_UNITS))
         reason[neutral & hollow[u_doc]] = REASONS.index("repeated")
         neutral &= ~hollow[u_doc]
         junk = ~prose & ~neutral
