@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from seqloom.config import SearchConfig
 from seqloom.functions import cigar
 from seqloom.functions.dna import explode_kmers, reverse_complement, sampled_kmers
+from seqloom.operators import chaining
 
 # Costs of mismatch, gap opening and gap extension; padding of the window.
 MISMATCH, GAP_OPEN, GAP_EXTEND = 4, 6, 2
@@ -183,6 +184,31 @@ def placements(queries: DataFrame, contigs: DataFrame, candidates: DataFrame, k:
     )
 
 
+def anchor_placements(queries: DataFrame, contigs: DataFrame, candidates: DataFrame, config: SearchConfig) -> DataFrame:
+    """The same for candidates found by anchors alone (no whole k-mer): the fragment with most anchors, whose
+    diagonals follow within the padding."""
+    k_anchor, n_anchors = (7, 5) if config.cross_species else (10, 3)
+    pairs = candidates.select("query_name", "genome_id")
+    own = queries.join(pairs.select("query_name").distinct(), "query_name", "left_semi").select("query_name", "seq", F.length("seq").alias("query_len"))
+    samples = sampled_kmers(own, ["query_name"], "seq", config.kmer_size, config.sample_target).select("query_name", "pos")
+    a = chaining.window_anchors(own.select("query_name", "seq"), samples, config.kmer_size, k_anchor, n_anchors).select("query_name", F.col("query_pos").alias("q"), "w").distinct()
+    words = chaining.text_words(contigs, ["genome_id", "contig_no", "contig_len"], k_anchor).join(a.select("w").distinct(), "w", "left_semi")
+    freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("_f")).where(F.col("_f") <= config.max_seed_freq)
+    asked = a.join(pairs, "query_name").join(freq.select("w"), "w", "left_semi")
+    rows = asked.join(words.withColumnRenamed("pos", "cpos"), ["w", "genome_id"]).withColumn("diag", F.col("cpos") - F.col("q"))
+    key = ["query_name", "genome_id", "contig_no"]
+    w = Window.partitionBy(*key).orderBy("diag", "q")
+    rows = rows.withColumn("_new", F.when(F.col("diag") - F.lag("diag").over(w) > PAD, 1).otherwise(0)).withColumn("_frag", F.sum("_new").over(w))
+    frag = rows.groupBy(*key, "_frag", "contig_len").agg(F.min("diag").alias("_d"), F.count(F.lit(1)).alias("n_seeds"))
+    order = Window.partitionBy("query_name", "genome_id").orderBy(F.desc("n_seeds"), "contig_no", "_frag")
+    best = frag.withColumn("_r", F.row_number().over(order)).where("_r = 1").join(own.select("query_name", "query_len"), "query_name")
+    start = F.greatest(F.col("_d"), F.lit(0))
+    return best.select(
+        "query_name", "genome_id", "contig_no", F.lit("+").alias("strand"), "n_seeds", "query_len",
+        F.greatest(start - PAD, F.lit(0)).alias("window_start"), F.least(start + F.col("query_len") + PAD, F.col("contig_len")).alias("window_end"),
+    )
+
+
 def sampled_kmers_with_strand(queries: DataFrame, k: int, target: int) -> DataFrame:
     rows = sampled_kmers(queries, ["query_name", "query_len"], "seq", k, target)
     return rows.select("query_name", "query_len", "pos", "kmer", "is_rc")
@@ -197,6 +223,8 @@ def align(queries: DataFrame, contigs: DataFrame, ranked: DataFrame, config: Sea
     top = ranked.where(F.col("rank") <= config.max_target_seqs)
     sized = contigs.withColumn("contig_len", F.length("seq"))
     windows = placements(queries, sized, top, config.kmer_size, config.sample_target)
+    if config.pigeonhole and "solid" in ranked.columns:
+        windows = windows.unionByName(anchor_placements(queries, sized, top.where("solid = 0"), config))
     texts = windows.join(sized.select("genome_id", "contig_no", "seq", "base_offset"), ["genome_id", "contig_no"]).select(
         *windows.columns, "base_offset", F.substring("seq", F.col("window_start") + 1, F.col("window_end") - F.col("window_start")).alias("text")
     )

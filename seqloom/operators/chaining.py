@@ -140,15 +140,27 @@ def pigeonhole_anchors(window_len: int, k_anchor: int = 10, n_anchors: int = 3)
     return [i * step for i in range(n) if i * step + k_anchor <= window_len]
 
 
-def anchor_hits(queries: DataFrame, unsolved: DataFrame, words: DataFrame, window_len: int, k_anchor: int = 10, n_anchors: int = 3, max_freq: int = 10_000, min_window: int | None = None) -> DataFrame:
-    """Forward anchor hits of windows without a solid hit: ``unsolved`` (query_name, pos), ``words`` (kmer text
-    column ``w`` of ``k_anchor`` letters with genome_id).  Empty where the window is too short for them."""
+def text_words(texts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys..., pos, w) of every clean window of ``seq`` as it stands, forward only."""
+    rows = texts.where(F.length("seq") >= k).select(*keys, "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
+    return rows.select(*keys, "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("w")).where(~F.col("w").rlike("[^ACGT]"))
+
+
+def window_anchors(queries: DataFrame, windows: DataFrame, window_len: int, k_anchor: int = 10, n_anchors: int = 3, min_window: int | None = None) -> DataFrame:
+    """(query_name, pos, query_pos, w): anchors of the windows (query_name, pos).  Empty where the window is
+    too short for them."""
     offsets = pigeonhole_anchors(window_len, k_anchor, n_anchors) if window_len >= (min_window or k_anchor * n_anchors) else []
     array = F.array(*[F.lit(o) for o in offsets]) if offsets else F.array().cast("array<int>")
-    rows = unsolved.join(queries, "query_name").select("query_name", "pos", "seq", F.explode(array).alias("_o"))
-    a = rows.select("query_name", "pos", "_o", F.substring("seq", F.col("pos") + F.col("_o") + 1, F.lit(k_anchor)).alias("w"))
-    a = a.where(~F.col("w").rlike("[^ACGT]"))
-    freq = words.join(a.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("_f")).where(F.col("_f") <= max_freq)
-    return a.join(words.join(freq.select("w"), "w", "left_semi").select("w", "genome_id").distinct(), "w").select(
-        "query_name", (F.col("pos") + F.col("_o")).alias("query_pos"), "genome_id"
-    )
+    rows = windows.join(queries, "query_name").select("query_name", "pos", "seq", F.explode(array).alias("_o"))
+    at = F.col("pos") + F.col("_o")
+    return rows.select("query_name", "pos", at.alias("query_pos"), F.substring("seq", at + 1, F.lit(k_anchor)).alias("w")).where(~F.col("w").rlike("[^ACGT]"))
+
+
+def anchor_hits(queries: DataFrame, unsolved: DataFrame, words: DataFrame, window_len: int, k_anchor: int = 10, n_anchors: int = 3, max_freq: int = 10_000, min_window: int | None = None) -> DataFrame:
+    """Forward anchor hits (query_name, pos, query_pos, genome_id, card) of windows without a solid hit:
+    ``unsolved`` (query_name, pos), ``words`` (kmer text column ``w`` of ``k_anchor`` letters with genome_id);
+    ``card`` is the number of genomes that hold the anchor."""
+    a = window_anchors(queries, unsolved, window_len, k_anchor, n_anchors, min_window)
+    pairs = words.join(a.select("w").distinct(), "w", "left_semi").groupBy("w", "genome_id").agg(F.count(F.lit(1)).alias("_n"))
+    freq = pairs.groupBy("w").agg(F.sum("_n").alias("_f"), F.count(F.lit(1)).alias("card")).where(F.col("_f") <= max_freq)
+    return a.join(pairs.join(freq, "w").select("w", "genome_id", "card"), "w").select("query_name", "pos", "query_pos", "genome_id", "card")

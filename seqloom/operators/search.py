@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from seqloom.config import SearchConfig
 from seqloom.functions import stats
 from seqloom.functions.dna import explode_kmers, explode_kmers_of, sampled_kmers
+from seqloom.operators import chaining
 from seqloom.session import salted_lookup
 
+MIN_SOLID = 30  # a query with fewer solid hits falls back to anchors
+
 
 def contigs_of(sequences: DataFrame) -> DataFrame:
     """Distinct contigs (genome_id, contig_no, contig_name, seq, base_offset) of raw rows; a genome's
@@ -69,20 +72,42 @@ def sampled_hits(queries: DataFrame, contigs: DataFrame, k: int, target: int = 3
     return samples, samples.join(kept, "kmer")
 
 
+def fallback_hits(queries: DataFrame, contigs: DataFrame, samples: DataFrame, hits: DataFrame, k: int, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """Rows like ``hits``, without the word, of the pigeonhole fallback: in queries with fewer than ``MIN_SOLID``
+    solid positions every missed window is looked up by short anchors (forward, as the original does).  A
+    window credits a genome once, by the rarest anchor it shows there."""
+    k_anchor, n_anchors = (7, 5) if config.cross_species else (10, 3)
+    solid = hits.select("query_name", "pos").distinct()
+    strong = solid.groupBy("query_name").agg(F.count(F.lit(1)).alias("_s")).where(F.col("_s") >= MIN_SOLID)
+    missed = samples.join(strong, "query_name", "left_anti").join(solid, ["query_name", "pos"], "left_anti").select("query_name", "n_sampled", "pos")
+    words = chaining.text_words(contigs, ["genome_id"], k_anchor)
+    found = chaining.anchor_hits(queries.select("query_name", "seq"), missed.select("query_name", "pos"), words, k, k_anchor, n_anchors, config.max_seed_freq)
+    per = found.groupBy("query_name", "pos", "genome_id").agg(F.min("card").alias("card"))
+    return per.join(missed, ["query_name", "pos"]).select("query_name", "n_sampled", "pos", "genome_id", "card")
+
+
 def genome_count(contigs: DataFrame) -> int:
     return int(contigs.agg(F.count_distinct("genome_id")).first()[0])
 
 
 def containment(queries: DataFrame, contigs: DataFrame, config: SearchConfig = SearchConfig(), k: int | None = None, n_genomes: int | None = None) -> DataFrame:
     """Ranked candidates: shared positions, containment, information score, posterior probabilities
-    and ANI of each query and genome; ``rank`` by information, then probability, then genome_id."""
+    and ANI of each query and genome; ``rank`` by information, then probability, then genome_id.
+
+    With ``config.pigeonhole`` queries of few solid hits are credited by anchors too, and ``solid`` counts the
+    shared positions that are whole k-mers."""
     k = k or config.kmer_size
     n_genomes = n_genomes if n_genomes is not None else genome_count(contigs)
-    _, hits = sampled_hits(queries, contigs, k, config.sample_target, config.max_seed_freq)
+    samples, hits = sampled_hits(queries, contigs, k, config.sample_target, config.max_seed_freq)
+    solid = []
+    if config.pigeonhole:
+        weak = fallback_hits(queries, contigs, samples, hits, k, config).withColumn("_solid", F.lit(0))
+        hits = hits.drop("kmer").withColumn("_solid", F.lit(1)).select(*weak.columns).unionByName(weak)
+        solid = [F.sum("_solid").alias("solid")]
     ic = stats.information_content(float(n_genomes), "card") if config.ic_mode == "sum_log2" else stats.idf(float(n_genomes), "card")
     # a position has one k-mer, so distinct positions are rows and the sum over positions is the maximum's sum
     scored = hits.groupBy("query_name", "n_sampled", "genome_id").agg(
-        F.count(F.lit(1)).alias("shared"), F.sum(ic).alias("info_score")
+        F.count(F.lit(1)).alias("shared"), F.sum(ic).alias("info_score"), *solid
     )
     return rank_candidates(add_posteriors(scored, k), config.max_candidates)
 

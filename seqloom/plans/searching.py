@@ -71,6 +71,12 @@ def containment_rank(spark, sf_dir):
     )
 
 
+def containment_pigeonhole(spark, sf_dir):
+    """The same with the anchor fallback of queries that have few whole words in the collection."""
+    out = search.containment(genes(spark, sf_dir), contigs(spark, sf_dir), SearchConfig(kmer_size=K, pigeonhole=True))
+    return out.select("query_name", "genome_id", "n_sampled", "shared", "solid", "rank", F.round("info_score", 6).alias("info_score"))
+
+
 def containment_chunked(spark, sf_dir):
     """The same with the scores of the chunked store: 500 samples, natural logarithm."""
     c = SearchConfig(kmer_size=K, sample_target=500, ic_mode="position_max_ln")
@@ -137,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         kmer_frequency, genome_kmers, canonical_kmers, sequence_functions, adaptive_k_choice, sampled_query_kmers, containment_rank,
-        containment_chunked, containment_adaptive, top_genomes, prevalence, sprt_decisions, candidate_votes, greedy_candidates, shard_merge,
+        containment_pigeonhole, containment_chunked, containment_adaptive, top_genomes, prevalence, sprt_decisions, candidate_votes, greedy_candidates, shard_merge,
     ]
 }
 

@@ -66,6 +66,28 @@ def test_alignment_finds_the_plant(world, method):
     assert [r["out_rank"] for r in sorted(out, key=lambda r: -r["as_score"])][0] == 1
 
 
+def test_pigeonhole_finds_what_has_no_whole_word(spark):
+    rng = random.Random(8)
+    gene, other = dna(rng, 300), dna(rng, 300)
+    far = list(gene)
+    for i in range(11, 290, 12):  # stretches of 11 letters, no whole word of 31
+        far[i] = {"A": "C", "C": "G", "G": "T", "T": "A"}[far[i]]
+    texts = {0: dna(rng, 700) + "".join(far) + dna(rng, 400), 1: dna(rng, 900), 2: dna(rng, 200) + other + dna(rng, 200)}
+    c = spark.createDataFrame([(g, 0, "c", s, 0) for g, s in texts.items()], "genome_id int, contig_no int, contig_name string, seq string, base_offset long")
+    q = spark.createDataFrame([("gene", gene), ("other", other)], "query_name string, seq string")
+    exact = search.containment(q, c).collect()
+    assert {(r["query_name"], r["genome_id"]) for r in exact} == {("other", 2)}
+    config = SearchConfig(pigeonhole=True)
+    ranked = search.containment(q, c, config)
+    rows = {(r["query_name"], r["genome_id"]): r for r in ranked.collect()}
+    credited = lambda s: sum(any(gene[p + o : p + o + 10] in s for o in (0, 10, 20)) for p in range(270))
+    assert {g: rows["gene", g]["shared"] if ("gene", g) in rows else 0 for g in texts} == {g: credited(s) for g, s in texts.items()}
+    assert rows["gene", 0]["rank"] == 1 and rows["gene", 0]["solid"] == 0 and credited(texts[0]) > 100
+    assert [k for k in rows if k[0] == "other"] == [("other", 2)] and rows["other", 2]["solid"] == rows["other", 2]["shared"] == 270
+    got = {r["query_name"]: r for r in alignment.align(q, c, ranked, config).where("genome_id != 1").collect()}
+    assert (got["gene"]["target_start"], got["gene"]["target_end"], got["gene"]["edits"]) == (700, 1000, 24)
+
+
 def test_adaptive_k_serves_short_queries(world):
     c, q, _, gene = world
     ks = {r["query_name"]: r["k"] for r in search.adaptive_containment(q, c).collect()}
