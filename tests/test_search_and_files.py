@@ -166,6 +166,41 @@ def test_signal_files(spark, tmp_path):
     assert signals.read_signal(spark, str(tmp_path / "a.csv")).first()["signal"] == [1.5, 2.0]
 
 
+def test_signal_longest_matches_equal_brute_force(spark):
+    from seqloom.functions.dna import CODE
+    from seqloom.operators import signals as sg
+
+    rng = random.Random(4)
+    a = sg.Alphabet(levels=8)
+    seqs = {0: dna(rng, 300), 1: dna(rng, 250)}
+    c = spark.createDataFrame([(g, s, 0) for g, s in seqs.items()], "genome_id int, seq string, base_offset long")
+    coded = lambda s: a.symbols(sg.standardize(sg.expected_signal(CODE[[ord(x) for x in s]], sg.default_levels()))).tolist()
+    texts = {(g, strand): coded(s if strand == "+" else rc(s)) for g, s in seqs.items() for strand in "+-"}
+    reads = {
+        "r": texts[0, "+"][50:80] + texts[1, "-"][20:27] + texts[0, "-"][100:109] + texts[1, "+"][60:85] + texts[0, "+"][200:240],
+        "s": [rng.randrange(8) for _ in range(60)],
+    }
+    want, places = {}, set()
+    for name, x in reads.items():
+        i = 0
+        while i + 6 <= len(x):
+            at = lambda n: [(g, st, p) for (g, st), t in texts.items() for p in range(len(t) - n + 1) if t[p : p + n] == x[i : i + n]]  # noqa: B023, E731
+            n = next((n for n in range(len(x) - i, 5, -1) if at(n)), 0)
+            if n:
+                want[name, i] = n
+                places |= {(name, i, n, *h) for h in at(n)}
+            i += n or 1
+    assert max(want.values()) >= 30 and {n for n in want.values()} - {6, 8, 10}
+    s = spark.createDataFrame(list(reads.items()), "read_id string, symbols array<int>")
+    kept = sg.skip_matched(sg.longest_matches(s, c, a))
+    assert {(r["read_id"], r["qpos"]): r["len"] for r in kept.collect()} == want
+    got = sg.match_places(kept, s, c, a).collect()
+    assert {tuple(r) for r in got} == places and len(got) == len(places)
+    top = sg.longest_search(s, c, a, min_hits=2).where("read_id = 'r' and rank = 1").first()
+    own = [p for p in places if p[0] == "r" and p[3] == 0]
+    assert top["genome_id"] == 0 and top["n_hits"] == len(own) and top["match_len"] == sum(p[2] for p in own)
+
+
 def test_stream_sessions_equal_batch(spark, data, tmp_path):
     from seqloom.streaming.arrivals import sessions
 
