@@ -36,6 +36,13 @@ def position_lookup(spark, sf_dir):
     return seeds.position_to_unitig(spark.range(0, end + 1, 97).select(F.col("id").alias("pos")), starts)
 
 
+def position_lookup_all(spark, sf_dir):
+    """Every position of the text of all unitigs, separators included."""
+    starts = seeds.text_starts(_unitigs(spark, sf_dir))
+    end = starts.agg(F.max(F.col("start") + F.col("len"))).first()[0]
+    return seeds.position_to_unitig(spark.range(0, 0 if end is None else end + 1).select(F.col("id").alias("pos")), starts)
+
+
 def index_info(spark, sf_dir):
     c = contigs(spark, sf_dir)
     u = _unitigs(spark, sf_dir).agg(F.count(F.lit(1)).alias("num_unitigs"), F.sum(F.length("seq")).alias("total_unitig_bases"))
@@ -52,7 +59,7 @@ def kmer_set_overlap(spark, sf_dir):
     return out.withColumn("share", F.round(F.col("n_held") / F.col("n_words"), 6))
 
 
-QUERIES = {f.__name__: f for f in [maximal_matches, longest_matches, position_lookup, index_info, kmer_set_overlap]}
+QUERIES = {f.__name__: f for f in [maximal_matches, longest_matches, position_lookup, position_lookup_all, index_info, kmer_set_overlap]}
 
 _U = "un AS (SELECT unitig_id, max(upper(sequence)) AS seq FROM unitigs WHERE sequence IS NOT NULL AND length(sequence) > 0 GROUP BY unitig_id)"
 
@@ -83,6 +90,10 @@ SELECT query_name, count(*) AS n_positions, CAST(max(l) AS INTEGER) AS longest,
 s AS (SELECT unitig_id, length(seq) AS n, sum(length(seq) + 1) OVER (ORDER BY unitig_id) - length(seq) - 1 AS start FROM un),
 p AS (SELECT unnest(range(0, (SELECT max(start + n) + 1 FROM s)::BIGINT, 97)) AS pos)
 SELECT pos, unitig_id, CAST(pos - start AS BIGINT) AS offset FROM p LEFT JOIN s ON pos >= start AND pos < start + n""",
+    "position_lookup_all": f"""WITH {_U},
+s AS (SELECT unitig_id, seq, length(seq) AS n, sum(length(seq) + 1) OVER (ORDER BY unitig_id) - length(seq) - 1 AS start FROM un)
+SELECT CAST(start + o AS BIGINT) AS pos, CASE WHEN o < n THEN unitig_id END AS unitig_id, CASE WHEN o < n THEN CAST(o AS BIGINT) END AS offset
+FROM (SELECT unitig_id, n, start, unnest(range(n + 1)) AS o FROM s)""",
     "index_info": f"""WITH {SQL_CONTIGS}, {_U}
 SELECT (SELECT count(DISTINCT genome_id) FROM ctg) AS num_genomes, (SELECT count(*) FROM ctg) AS num_contigs, (SELECT CAST(sum(length(seq)) AS BIGINT) FROM ctg) AS total_bases,
   (SELECT count(*) FROM un) AS num_unitigs, (SELECT CAST(sum(length(seq)) AS BIGINT) FROM un) AS total_unitig_bases""",

@@ -201,6 +201,16 @@ def test_signal_longest_matches_equal_brute_force(spark):
     assert top["genome_id"] == 0 and top["n_hits"] == len(own) and top["match_len"] == sum(p[2] for p in own)
 
 
+def test_every_position_is_looked_up(spark, tmp_path):
+    from seqloom.plans import seeding
+
+    texts = {3: "ACGTA", 5: "G", 9: "CC"}  # all shorter than a stride of 97
+    spark.createDataFrame(list(texts.items()), "unitig_id long, sequence string").write.parquet(str(tmp_path / "unitigs.parquet"))
+    got = [tuple(r) for r in seeding.position_lookup_all(spark, str(tmp_path)).orderBy("pos").collect()]
+    want = [x for u, s in texts.items() for x in [*[(u, o) for o in range(len(s))], (None, None)]]
+    assert got == [(i, *x) for i, x in enumerate(want)]
+
+
 def test_stream_sessions_equal_batch(spark, data, tmp_path):
     from seqloom.streaming.arrivals import sessions
 
