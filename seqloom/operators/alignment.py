@@ -24,58 +24,62 @@ PAD = 20
 MAX_CELLS = 64_000_000
 
 
-def affine_global(query: np.ndarray, text: np.ndarray) -> np.ndarray | None:
+def affine_global(query: np.ndarray, text: np.ndarray, max_cells: int = MAX_CELLS) -> np.ndarray:
     """Operations (bytes of ``=XID``) of a cheapest global alignment under affine gaps; D is text the query
-    lacks.  Among equal costs: diagonal, then I, then D.  One vector operation a row and state; None beyond
-    ``MAX_CELLS`` cells."""
+    lacks.  Among equal costs: diagonal, then I, then D.  One vector operation a row and state.
+
+    The traceback holds at most about ``max_cells`` cells: of larger tables the costs at the head of each block
+    of rows are kept, and the blocks are computed again from the last one on."""
     n, m = len(query), len(text)
-    if n * m > MAX_CELLS:
-        return None
     o, e = GAP_OPEN, GAP_EXTEND
     j = np.arange(m + 1, dtype=np.int64)
     far = np.int64(1 << 40)
-    best = np.where(j > 0, o + e * j, 0)
-    ins = np.full(m + 1, far)
-    source = np.zeros((n + 1, m + 1), np.uint8)  # 0 diagonal, 1 insertion, 2 deletion
-    ins_open = np.zeros((n + 1, m + 1), bool)
-    del_open = np.ones((n + 1, m + 1), bool)
-    source[0, 1:] = 2
-    del_open[0, 2:] = False
-    for i in range(1, n + 1):
-        opened = best + o + e
-        ext = ins + e
-        ins_open[i] = opened <= ext
-        ins = np.minimum(opened, ext)
-        diag = np.full(m + 1, far)
-        diag[1:] = best[:-1] + np.where(text == query[i - 1], 0, MISMATCH)
-        base = np.minimum(diag, ins)
-        # cheapest deletion that ends at each column: a running minimum of where it opens
-        run = np.minimum.accumulate(base - e * j)
-        dele = np.full(m + 1, far)
-        dele[1:] = run[:-1] + o + e * j[1:]
-        del_open[i, 1:] = base[:-1] + o + e <= dele[1:]
-        best = np.minimum(base, dele)
-        source[i] = np.where(diag <= best, 0, np.where(ins <= best, 1, 2))
-    ops, i, k = [], n, m
-    while i or k:
-        s = source[i, k] if i else 2
-        if s == 0:
-            ops.append(61 if query[i - 1] == text[k - 1] else 88)
-            i, k = i - 1, k - 1
-        elif s == 1:
-            while True:
+    rows = max(1, min(n, max_cells // (m + 1)))
+
+    def block(at, best, ins, keep):
+        """Rows at + 1 .. at + rows from the costs of row ``at``: costs of the last row, traceback if wanted."""
+        size = min(rows, n - at)
+        trace = [np.zeros((size + 1, m + 1), t) for t in (np.uint8, bool, bool)] if keep else None
+        for i in range(1, size + 1):
+            opened = best + o + e
+            ext = ins + e
+            ins_open = opened <= ext
+            ins = np.minimum(opened, ext)
+            diag = np.full(m + 1, far)
+            diag[1:] = best[:-1] + np.where(text == query[at + i - 1], 0, MISMATCH)
+            base = np.minimum(diag, ins)
+            # cheapest deletion that ends at each column: a running minimum of where it opens
+            run = np.minimum.accumulate(base - e * j)
+            dele = np.full(m + 1, far)
+            dele[1:] = run[:-1] + o + e * j[1:]
+            best = np.minimum(base, dele)
+            if keep:
+                trace[0][i] = np.where(diag <= best, 0, np.where(ins <= best, 1, 2))  # 0 diagonal, 1 insertion, 2 deletion
+                trace[1][i] = ins_open
+                trace[2][i, 1:] = base[:-1] + o + e <= dele[1:]
+        return best, ins, trace
+
+    heads = [(np.where(j > 0, o + e * j, 0), np.full(m + 1, far))]
+    for at in range(0, n - rows, rows):
+        heads.append(block(at, *heads[-1], False)[:2])
+    ops, i, k, state = [], n, m, None
+    for b in range(len(heads) - 1, -1, -1):
+        at = b * rows
+        source, ins_open, del_open = block(at, *heads[b], True)[2]
+        while i > at and (i or k):
+            s = source[i - at, k] if state is None else state
+            if s == 0:
+                ops.append(61 if query[i - 1] == text[k - 1] else 88)
+                i, k = i - 1, k - 1
+            elif s == 1:  # a gap may go on in the block before
                 ops.append(73)
-                opened = ins_open[i, k]
+                state = None if ins_open[i - at, k] else 1
                 i -= 1
-                if opened or not i:
-                    break
-        else:
-            while True:
+            else:
                 ops.append(68)
-                opened = del_open[i, k]
+                state = None if del_open[i - at, k] or k == 1 else 2
                 k -= 1
-                if opened or not k:
-                    break
+    ops += [68] * k
     return np.array(ops[::-1], np.uint8)
 
 

@@ -184,6 +184,25 @@ def test_pigeonhole_offsets():
     assert chaining.pigeonhole_anchors(5) == []
 
 
+def test_alignment_in_blocks_is_the_same():
+    rng = np.random.default_rng(5)
+    for n, m in [(40, 55), (30, 30), (1, 20), (25, 1), (0, 9), (9, 0), (60, 20)]:
+        a, b = rng.choice(list(b"ACGT"), n).astype(np.uint8), rng.choice(list(b"ACGT"), m).astype(np.uint8)
+        whole = alignment.affine_global(a, b).tolist()
+        for cells in (1, 100, 7 * (m + 1)):
+            assert alignment.affine_global(a, b, cells).tolist() == whole
+
+
+def test_alignment_of_long_pairs():
+    rng = np.random.default_rng(6)
+    text = rng.choice(list(b"ACGT"), 8_100).astype(np.uint8)
+    query = np.concatenate([text[20:4_000], text[4_003:8_060]])
+    query[100] = ord("A") if query[100] != ord("A") else ord("C")
+    ops = alignment.affine_global(query, text)  # more than MAX_CELLS cells
+    assert len(query) * len(text) > alignment.MAX_CELLS
+    assert ((ops != 68).sum(), (ops == 88).sum(), (ops == 68).sum(), (ops == 73).sum()) == (len(query), 1, len(text) - len(query), 0)
+
+
 def test_signals():
     x = np.array([1, 2, 3, 4, 100], np.float32)
     n = signals.normalize(x)
