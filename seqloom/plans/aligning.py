@@ -29,7 +29,7 @@ def aligned_hits(spark, sf_dir):
 
 def aligned_hits_graph(spark, sf_dir):
     g, c = genes(spark, sf_dir), contigs(spark, sf_dir)
-    config = SearchConfig(kmer_size=K, max_target_seqs=3)
+    config = SearchConfig(kmer_size=K)
     out = alignment.align(g, c, search.containment(g, c, config), config, "graph")
     return out.select("query_name", "genome_id", "strand", "num_matches", "edits")
 
@@ -85,9 +85,7 @@ def pigeonhole(spark, sf_dir):
     samples = sampled_kmers(g, ["query_name"], "seq", K, 384)
     solid = search.kmer_index(c, K).select("kmer").distinct()
     unsolved = samples.join(solid, "kmer", "left_anti").select("query_name", "pos")
-    p = F.explode(F.sequence(F.lit(0), F.length("seq") - 10)).alias("pos")
-    words = c.where(F.length("seq") >= 10).select("genome_id", "seq", p).select("genome_id", F.substring("seq", F.col("pos") + 1, F.lit(10)).alias("w"))
-    out = chaining.anchor_hits(g, unsolved, words.where(~F.col("w").rlike("[^ACGT]")), K, 10, 3, 200)
+    out = chaining.anchor_hits(g, unsolved, chaining.text_words(c, ["genome_id"], 10), K, 10, 3, SearchConfig().max_seed_freq)
     return out.groupBy("query_name", "genome_id").agg(F.count_distinct("query_pos").alias("n_anchors"))
 
 

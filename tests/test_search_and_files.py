@@ -201,6 +201,24 @@ def test_signal_longest_matches_equal_brute_force(spark):
     assert top["genome_id"] == 0 and top["n_hits"] == len(own) and top["match_len"] == sum(p[2] for p in own)
 
 
+def _tables(spark, folder, unitigs, sequences):
+    spark.createDataFrame(unitigs, "unitig_id long, sequence string").write.parquet(f"{folder}/unitigs.parquet")
+    spark.createDataFrame(sequences, "seq_id long, genome_id int, contig_name string, seq string").write.parquet(f"{folder}/sequences.parquet")
+
+
+def test_frequent_anchors_and_all_candidates(spark, tmp_path):
+    from seqloom.plans import aligning
+
+    rng = random.Random(9)
+    gene, lost = dna(rng, 120), dna(rng, 60)
+    rows = [(i, i, "c", dna(rng, 50) + gene + dna(rng, 50)) for i in range(5)] + [(9, 9, "c", "".join(lost[:10] + dna(rng, 15) for _ in range(250)))]
+    _tables(spark, tmp_path, [(1, gene), (2, lost)], rows)
+    graph_hits = {(r["query_name"], r["genome_id"]) for r in aligning.aligned_hits_graph(spark, str(tmp_path)).collect()}
+    assert graph_hits == {("u1", g) for g in range(5)}
+    anchors = {(r["query_name"], r["genome_id"]): r["n_anchors"] for r in aligning.pigeonhole(spark, str(tmp_path)).collect()}
+    assert anchors["u2", 9] >= 1  # the word stands in 250 places
+
+
 def test_every_position_is_looked_up(spark, tmp_path):
     from seqloom.plans import seeding
 
