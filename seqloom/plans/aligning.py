@@ -10,14 +10,14 @@ from seqloom.config import SearchConfig
 from seqloom.functions import stats
 from seqloom.functions.dna import explode_kmers, sampled_kmers
 from seqloom.operators import alignment, chaining, index_store, search
-from seqloom.plans.domain import SQL_CONTIGS, SQL_GENES, contigs, genes, sql_kmers
+from seqloom.plans.domain import SQL_ALL_GENES, SQL_CONTIGS, SQL_GENES, contigs, genes, over_all_genes, sql_kmers
 from seqloom.session import ensure_checkpoint_dir, table
 from seqloom.streaming.arrivals import sessions
 
 K = 31
 
 
-def aligned_hits(spark, sf_dir):
+def aligned_hits(spark, sf_dir, genes=genes):
     """Alignments of every gene with its best genomes."""
     g, c = genes(spark, sf_dir), contigs(spark, sf_dir)
     config = SearchConfig(kmer_size=K, max_target_seqs=10)
@@ -34,7 +34,7 @@ def aligned_hits_graph(spark, sf_dir):
     return out.select("query_name", "genome_id", "strand", "num_matches", "edits")
 
 
-def _seeds(spark, sf_dir):
+def _seeds(spark, sf_dir, genes=genes):
     """Every sampled position with its word's frequency and genomes."""
     g, c = genes(spark, sf_dir), contigs(spark, sf_dir)
     samples = sampled_kmers(g, ["query_name"], "seq", K, 384)
@@ -42,9 +42,9 @@ def _seeds(spark, sf_dir):
     return samples.join(freq, "kmer").select("query_name", "pos", F.lit(K).alias("match_len"), "freq", "card")
 
 
-def seed_features(spark, sf_dir):
+def seed_features(spark, sf_dir, genes=genes):
     n = search.genome_count(contigs(spark, sf_dir))
-    out = chaining.seed_features(_seeds(spark, sf_dir), genes(spark, sf_dir), n)
+    out = chaining.seed_features(_seeds(spark, sf_dir, genes), genes(spark, sf_dir), n)
     return out.select("query_name", "pos", *[F.round(c, 6).alias(c) for c in (*stats.SEED_FEATURES[1:], "score", "weighted_score")])
 
 
@@ -60,7 +60,7 @@ def seed_scorer(spark, sf_dir):
     return spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(zip(["bias", *stats.SEED_FEATURES], w))], "no int, feature string, weight double")
 
 
-def best_chains(spark, sf_dir):
+def best_chains(spark, sf_dir, genes=genes):
     g, c = genes(spark, sf_dir), contigs(spark, sf_dir)
     q = sampled_kmers(g.withColumn("query_len", F.length("seq")), ["query_name", "query_len"], "seq", K, 384)
     idx = explode_kmers(c, ["genome_id", "base_offset"], "seq", K).join(q.select("kmer").distinct(), "kmer", "left_semi")
@@ -89,7 +89,7 @@ def pigeonhole(spark, sf_dir):
     return out.groupBy("query_name", "genome_id").agg(F.count_distinct("query_pos").alias("n_anchors"))
 
 
-def index_growth(spark, sf_dir):
+def index_growth(spark, sf_dir, genes=genes):
     """An index built in two steps, compacted, and searched; one row a gene and genome."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{abs(hash(sf_dir)) % 10**9}-{spark.sparkContext.applicationId}"
     c = contigs(spark, sf_dir)
@@ -137,3 +137,8 @@ WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
 SELECT user_id, min(ts) AS started, count(*) AS n_values, round(avg(value), 6) AS mean_value, min(value) AS low, max(value) AS high FROM s GROUP BY user_id, no""",
 }
+
+# over unitigs of any length; the SQL of the queries above is left as it is
+ALL = [aligned_hits, seed_features, best_chains, index_growth]
+QUERIES |= {f"{f.__name__}_all": over_all_genes(f) for f in ALL}
+SQL |= {f"{f.__name__}_all": SQL[f.__name__].replace(SQL_GENES, SQL_ALL_GENES) for f in ALL if f.__name__ in SQL}

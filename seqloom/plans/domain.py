@@ -20,6 +20,13 @@ def genes(spark, sf_dir):
     return one.select(F.concat(F.lit("u"), F.col("unitig_id").cast("string")).alias("query_name"), "seq")
 
 
+def all_genes(spark, sf_dir):
+    """Every unitig that has any letter, however short."""
+    u = table(spark, sf_dir, "unitigs").where(F.col("sequence").isNotNull() & (F.length("sequence") > 0))
+    one = u.groupBy("unitig_id").agg(F.max(F.upper("sequence")).alias("seq"))
+    return one.select(F.concat(F.lit("u"), F.col("unitig_id").cast("string")).alias("query_name"), "seq")
+
+
 SQL_CONTIGS = """
 ctg0 AS (
   SELECT seq_id, max((length(seq), upper(seq), genome_id, contig_name)) AS m FROM sequences
@@ -38,6 +45,23 @@ genes AS (
 )"""
 
 
+SQL_ALL_GENES = """
+genes AS (
+  SELECT 'u' || unitig_id AS query_name, max(upper(sequence)) AS seq FROM unitigs
+  WHERE sequence IS NOT NULL AND length(sequence) > 0 GROUP BY unitig_id
+)"""
+
+
+def over_all_genes(query):
+    """The same query over ``all_genes``, named with ``_all``."""
+
+    def run(spark, sf_dir):
+        return query(spark, sf_dir, all_genes)
+
+    run.__name__, run.__doc__ = f"{query.__name__}_all", query.__doc__
+    return run
+
+
 def sql_kmers(k: int, source: str, keys: str) -> str:
     """Clean windows of ``source`` (keys..., seq) with canonical text ``w`` (the lesser of both strands)."""
     return f"""

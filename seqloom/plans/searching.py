@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.config import SearchConfig
 from seqloom.functions import dna, stats
 from seqloom.operators import search
-from seqloom.plans.domain import SQL_CONTIGS, SQL_GENES, contigs, genes, sql_kmers
+from seqloom.plans.domain import SQL_ALL_GENES, SQL_CONTIGS, SQL_GENES, contigs, genes, over_all_genes, sql_kmers
 from seqloom.session import table
 
 K = 31
@@ -62,7 +62,7 @@ def sampled_query_kmers(spark, sf_dir):
     )
 
 
-def containment_rank(spark, sf_dir):
+def containment_rank(spark, sf_dir, genes=genes):
     """Candidates of every gene with all their scores."""
     out = search.containment(genes(spark, sf_dir), contigs(spark, sf_dir), SearchConfig(kmer_size=K))
     return out.select(
@@ -71,13 +71,13 @@ def containment_rank(spark, sf_dir):
     )
 
 
-def containment_pigeonhole(spark, sf_dir):
+def containment_pigeonhole(spark, sf_dir, genes=genes):
     """The same with the anchor fallback of queries that have few whole words in the collection."""
     out = search.containment(genes(spark, sf_dir), contigs(spark, sf_dir), SearchConfig(kmer_size=K, pigeonhole=True))
     return out.select("query_name", "genome_id", "n_sampled", "shared", "solid", "rank", F.round("info_score", 6).alias("info_score"))
 
 
-def containment_chunked(spark, sf_dir):
+def containment_chunked(spark, sf_dir, genes=genes):
     """The same with the scores of the chunked store: 500 samples, natural logarithm."""
     c = SearchConfig(kmer_size=K, sample_target=500, ic_mode="position_max_ln")
     return search.containment(genes(spark, sf_dir), contigs(spark, sf_dir), c).select(
@@ -85,24 +85,24 @@ def containment_chunked(spark, sf_dir):
     )
 
 
-def containment_adaptive(spark, sf_dir):
+def containment_adaptive(spark, sf_dir, genes=genes):
     """Every gene at the k of its length, then at smaller ones."""
     out = search.adaptive_containment(genes(spark, sf_dir), contigs(spark, sf_dir))
     return out.select("query_name", "genome_id", "k", "shared", F.round("info_score", 6).alias("info_score"))
 
 
-def top_genomes(spark, sf_dir):
+def top_genomes(spark, sf_dir, genes=genes):
     out = search.containment(genes(spark, sf_dir), contigs(spark, sf_dir), SearchConfig(kmer_size=K, max_candidates=5))
     return search.mapping_quality(out).select("query_name", "genome_id", "rank", "shared", "mapq")
 
 
-def prevalence(spark, sf_dir):
+def prevalence(spark, sf_dir, genes=genes):
     """For every gene: the best genome, and how many genomes hold as much or anything of it."""
     out = search.prevalence(genes(spark, sf_dir), contigs(spark, sf_dir), K)
     return out.select("*").withColumn("containment", F.round("containment", 6))
 
 
-def sprt_decisions(spark, sf_dir):
+def sprt_decisions(spark, sf_dir, genes=genes):
     samples, hits = search.sampled_hits(genes(spark, sf_dir), contigs(spark, sf_dir), K)
     return search.sprt_trace(samples, hits).select("query_name", "decision", "decided_at", F.round("llr", 6).alias("llr"))
 
@@ -132,7 +132,7 @@ def greedy_candidates(spark, sf_dir):
     return search.greedy_candidates(_seeds(spark, sf_dir), _colors(spark, sf_dir), 40)
 
 
-def shard_merge(spark, sf_dir):
+def shard_merge(spark, sf_dir, genes=genes):
     """Two shards with their own collection sizes, ranked together."""
     c = contigs(spark, sf_dir).withColumn("shard_id", F.col("genome_id") % 2)
     out = search.sharded_containment(genes(spark, sf_dir), c, SearchConfig(kmer_size=K))
@@ -252,3 +252,8 @@ pr AS (SELECT *, {_prob(0.5)} AS bp FROM sc)
 SELECT query_name, genome_id, CAST(shard_id AS INTEGER) AS shard_id, shared, CAST(row_number() OVER (PARTITION BY query_name ORDER BY round(info, 9) DESC, round(bp, 9) DESC, genome_id) AS INTEGER) AS rank,
   round(info, 6) AS info_score FROM pr""",
 }
+
+# over unitigs of any length; the SQL of the queries above is left as it is
+ALL = [containment_rank, containment_pigeonhole, containment_chunked, containment_adaptive, top_genomes, prevalence, sprt_decisions, shard_merge]
+QUERIES |= {f"{f.__name__}_all": over_all_genes(f) for f in ALL}
+SQL |= {f"{f.__name__}_all": SQL[f.__name__].replace(SQL_GENES, SQL_ALL_GENES) for f in ALL if f.__name__ in SQL}

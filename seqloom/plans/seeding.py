@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.operators import search, seeds
-from seqloom.plans.domain import SQL_CONTIGS, SQL_GENES, contigs, genes
+from seqloom.plans.domain import SQL_ALL_GENES, SQL_CONTIGS, SQL_GENES, contigs, genes, over_all_genes
 from seqloom.session import table
 
 LEAST = 21
@@ -22,7 +22,7 @@ def maximal_matches(spark, sf_dir):
     return seeds.maximal_matches(c, _unitigs(spark, sf_dir), LEAST)
 
 
-def longest_matches(spark, sf_dir):
+def longest_matches(spark, sf_dir, genes=genes):
     """Of every gene position: the longest stretch found in a contig's text, and in how many places."""
     targets = contigs(spark, sf_dir).select((F.col("genome_id") * 1000 + F.col("contig_no")).cast("int").alias("unitig_id"), "seq")
     out = seeds.longest_match(seeds.maximal_matches(genes(spark, sf_dir), targets, LEAST), LEAST)
@@ -51,7 +51,7 @@ def index_info(spark, sf_dir):
     return g.select("*", one).join(u.select("*", one), "_k").drop("_k")
 
 
-def kmer_set_overlap(spark, sf_dir):
+def kmer_set_overlap(spark, sf_dir, genes=genes):
     """Share of each gene's distinct words that the collection holds at all."""
     q = seeds.explode_kmers(genes(spark, sf_dir), ["query_name"], "seq", 31).select("query_name", "kmer").distinct()
     held = search.kmer_index(contigs(spark, sf_dir), 31).select("kmer").distinct().withColumn("_in", F.lit(1))
@@ -101,3 +101,8 @@ SELECT (SELECT count(DISTINCT genome_id) FROM ctg) AS num_genomes, (SELECT count
 h AS (SELECT DISTINCT w FROM ({_words("ctg", "genome_id", 31)}))
 SELECT query_name, count(*) AS n_words, count(h.w) AS n_held, round(count(h.w) / count(*), 6) AS share FROM qw LEFT JOIN h ON h.w = qw.w GROUP BY query_name""",
 }
+
+# over unitigs of any length; the SQL of the queries above is left as it is
+ALL = [longest_matches, kmer_set_overlap]
+QUERIES |= {f"{f.__name__}_all": over_all_genes(f) for f in ALL}
+SQL |= {f"{f.__name__}_all": SQL[f.__name__].replace(SQL_GENES, SQL_ALL_GENES) for f in ALL if f.__name__ in SQL}

@@ -206,6 +206,16 @@ def _tables(spark, folder, unitigs, sequences):
     spark.createDataFrame(sequences, "seq_id long, genome_id int, contig_name string, seq string").write.parquet(f"{folder}/sequences.parquet")
 
 
+def test_short_unitigs_are_genes(spark, tmp_path):
+    from seqloom.plans import registry
+
+    rng = random.Random(10)
+    short = dna(rng, 40)
+    _tables(spark, tmp_path, [(1, short), (2, "ACG")], [(1, 7, "c", dna(rng, 60) + short + dna(rng, 60))])
+    rows = {r["query_name"]: (r["kmers_hit"], r["best_genome"]) for r in registry.queries()["prevalence_all"](spark, str(tmp_path)).collect()}
+    assert rows == {"u1": (10, 7), "u2": (0, None)}
+
+
 def test_frequent_anchors_and_all_candidates(spark, tmp_path):
     from seqloom.plans import aligning
 
