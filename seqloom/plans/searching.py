@@ -48,6 +48,13 @@ def sequence_functions(spark, sf_dir):
     )
 
 
+def reverse_complements(spark, sf_dir):
+    """Both forms of the reverse complement of every whole contig, by checksum."""
+    return contigs(spark, sf_dir).select(
+        "genome_id", "contig_no", F.length("seq").alias("n"), F.md5(dna.reverse_complement("seq")).alias("rc"), F.md5(dna.reverse_complement("seq", True)).alias("rc_n")
+    )
+
+
 def adaptive_k_choice(spark, sf_dir):
     g = genes(spark, sf_dir).withColumn("n", F.length("seq"))
     return g.select(
@@ -142,7 +149,7 @@ def shard_merge(spark, sf_dir, genes=genes):
 QUERIES = {
     f.__name__: f
     for f in [
-        kmer_frequency, genome_kmers, canonical_kmers, sequence_functions, adaptive_k_choice, sampled_query_kmers, containment_rank,
+        kmer_frequency, genome_kmers, canonical_kmers, sequence_functions, reverse_complements, adaptive_k_choice, sampled_query_kmers, containment_rank,
         containment_pigeonhole, containment_chunked, containment_adaptive, top_genomes, prevalence, sprt_decisions, candidate_votes, greedy_candidates, shard_merge,
     ]
 }
@@ -204,6 +211,9 @@ SELECT genome_id, CAST(contig_no AS INTEGER) AS contig_no, round(length(regexp_r
   CASE WHEN NOT regexp_matches(substr(seq, 1, 9), '[^ACGT]') THEN lpad(substr(seq, 1, 9), 9, 'A') END AS back,
   NOT regexp_matches(seq, '[^ACGT]') AS unambiguous, substr(seq, 4, 8) AS part
 FROM ctg""",
+    "reverse_complements": f"""WITH {SQL_CONTIGS}
+SELECT genome_id, CAST(contig_no AS INTEGER) AS contig_no, CAST(length(seq) AS INTEGER) AS n, md5(translate(reverse(seq), 'ACGT', 'TGCA')) AS rc,
+  md5(regexp_replace(translate(reverse(seq), 'ACGT', 'TGCA'), '[^ACGT]', 'N', 'g')) AS rc_n FROM ctg""",
     "adaptive_k_choice": f"""WITH {SQL_GENES}
 SELECT query_name, coalesce(list_max(list_filter(range(15, 32), lambda k: length(seq) >= k AND (length(seq) - k + 1) * pow(0.95, k) >= 50)), 15)::INTEGER AS k,
   coalesce(list_max(list_filter(range(7, 32), lambda k: length(seq) >= k AND (length(seq) - k + 1) * pow(0.85, k) >= 30)), 7)::INTEGER AS k_cross FROM genes""",

@@ -206,6 +206,17 @@ def _tables(spark, folder, unitigs, sequences):
     spark.createDataFrame(sequences, "seq_id long, genome_id int, contig_name string, seq string").write.parquet(f"{folder}/sequences.parquet")
 
 
+def test_whole_contigs_are_complemented(spark, tmp_path):
+    from hashlib import md5
+
+    from seqloom.plans import searching
+
+    _tables(spark, tmp_path, [(1, "A")], [(1, 7, "c", "ACGTACGTAC" * 20 + "RYTT")])
+    r = searching.reverse_complements(spark, str(tmp_path)).first()
+    tail = rc("ACGTACGTAC" * 20)
+    assert (r["n"], r["rc"], r["rc_n"]) == (204, md5(f"AAYR{tail}".encode()).hexdigest(), md5(f"AANN{tail}".encode()).hexdigest())
+
+
 def test_short_unitigs_are_genes(spark, tmp_path):
     from seqloom.plans import registry
 
