@@ -74,7 +74,7 @@ def _period_rows(spark, sf_dir):
 
 def _period_medians(spark, sf_dir):
     values, parts = _period_rows(spark, sf_dir)
-    bounds = dg.brackets(parts, PERIOD, F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    bounds = dg.brackets(dg.merge(parts, PERIOD), PERIOD, F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
     return dg.exact_medians(_in_period(values, bounds), PERIOD, "identity")
 
 

@@ -111,6 +111,24 @@ def test_digest_bounds(spark):
     assert set(med) == {"big", "small", "ties"}
 
 
+def test_period_medians_come_from_merged_digests(spark, monkeypatch):
+    import numpy as np
+
+    from seqloom.llm import queries
+
+    rng = np.random.default_rng(2)
+    rows = [("q", "s", int(d), int(i % 4), float(x)) for i, (d, x) in enumerate(zip(rng.integers(0, 9, 6000), rng.normal(size=6000).round(2)))]
+    values = spark.createDataFrame(rows, "query_name string, species string, run_day int, _salt int, identity double")
+    parts = digest.digest(values, ["query_name", "species"], ["run_day", "_salt"], "identity")
+    periods = spark.createDataFrame([("q", "s", 2, 7)], "query_name string, species string, day_from int, day_to int")
+    monkeypatch.setattr(queries, "_period_rows", lambda *_: (values, queries._in_period(parts, periods)))
+    sizes, brackets = [], digest.brackets
+    monkeypatch.setattr(digest, "brackets", lambda d, *a: sizes.append(d.count()) or brackets(d, *a))
+    got = queries._period_medians(spark, "").collect()
+    assert sizes[0] <= 2 * digest.DELTA < queries._in_period(parts, periods).count()
+    assert got[0]["median"] == np.median([r[4] for r in rows if 2 <= r[2] <= 7])
+
+
 def test_digest_empty(spark):
     df = spark.createDataFrame([], "g string, day int, v double")
     assert digest.estimate(digest.merge(digest.digest(df, ["g"], ["day"], "v"), ["g"]), ["g"], [0.5]).count() == 0
