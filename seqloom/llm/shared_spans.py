@@ -182,6 +182,8 @@ _SPAN = np.dtype([("rec", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 def _groups(e: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by key and record; first of each key; whether the key stands in several records."""
+    if not len(e):
+        return e, np.zeros(0, np.int64), np.zeros(0, bool)
     order = np.lexsort([e["rec"], *[e[f"k{i}"] for i in range(words)]])
     s = e[order]
     new = np.ones(len(s), bool)
