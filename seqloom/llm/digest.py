@@ -11,7 +11,9 @@ data how many values lie below and up to an estimate, which is its exact rank
 error; ``exact_ranks`` selects the order statistics inside the brackets.
 
 All of it is window functions and aggregates in the JVM.  A hot group is spread
-by day and salt when digested; a merge sees at most about delta centroids a part.
+by day and by salts of its measured size when digested, so a task sorts a bounded
+number of values; beyond that only centroids travel.  A merge sees at most about
+delta / 2 centroids a part.
 
 Defined results of edge cases
 * null and NaN values: left out; a group without values: no digest
@@ -163,6 +165,15 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def settle(stated: DataFrame, value: str, tolerance: float) -> DataFrame:
+    """Adds ``off`` to rows with a stated ``value`` beside the certain bounds ``lo`` and ``hi`` of the true one:
+    whether they differ by more than ``tolerance``, null where the bounds leave it open."""
+    v, lo, hi = F.col(value), F.col("lo"), F.col("hi")
+    beyond = (v - hi > tolerance) | (lo - v > tolerance)
+    within = (F.abs(v - lo) <= tolerance) & (F.abs(v - hi) <= tolerance)
+    return stated.withColumn("off", F.when(lo == hi, F.abs(v - lo) > tolerance).when(beyond, True).when(within, False))
+
+
 def exact_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact medians of each key.  ``rows`` are values beside ``n``, ``lo``, ``hi`` of their key (from
     ``brackets``): values below lo are counted, only those inside [lo, hi] are ranked."""

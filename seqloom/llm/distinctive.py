@@ -8,8 +8,10 @@ neighbours; a genome's weight in a record is its number of distinct neighbours
 the rarity ln(records / records with the genome).  Information content is
 recomputed from all rows of a unitig, never read from stored columns.
 
-Edges grow with window x tokens, not with pairs.  Hot genomes and hot queries are
-met by keys (query, unitig), (query, genome) and by salted lookups.
+Each edge is kept once, from the lesser genome to the greater, so edges grow with
+(window - 1) x tokens, not with pairs, and the graph of a record is one shuffle.  Hot
+genomes and hot queries are met by keys (query, unitig), (query, edge), (query, genome)
+and by salted lookups.
 
 Defined results of edge cases
 * null query_name, null unitig_id: no record, no part of one; null genome ids: left out
@@ -20,7 +22,7 @@ Defined results of edge cases
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.session import salted_lookup
@@ -28,40 +30,27 @@ from seqloom.session import salted_lookup
 WINDOW = 4
 
 
-def memberships(nodes: DataFrame) -> DataFrame:
-    """Distinct (query_name, unitig_id, genome_id); genome_id null where a unitig stands without."""
+def records_of(nodes: DataFrame) -> DataFrame:
+    """(query_name, unitig_id, genomes): one row per unitig of a record, its genomes ascending.  A list
+    is at most as long as the collection has genomes; repeats are combined before the shuffle."""
     return (
         nodes.where(F.col("query_name").isNotNull() & F.col("unitig_id").isNotNull())
-        .select("query_name", "unitig_id", F.explode_outer("genome_ids").alias("genome_id"))
-        .distinct()
+        .select("query_name", "unitig_id", F.explode("genome_ids").alias("genome_id"))
+        .where(F.col("genome_id").isNotNull())
+        .groupBy("query_name", "unitig_id")
+        .agg(F.array_sort(F.collect_set("genome_id")).alias("genomes"))
     )
 
 
-def cooccurrence_edges(members: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(query_name, genome_id, kind, neighbour): ``u`` the unitig a window stands under, ``g`` a genome in it."""
-    order = Window.partitionBy("query_name", "unitig_id").orderBy("genome_id")
-    terms = members.where(F.col("genome_id").isNotNull())
-    near = [F.lag("genome_id", d).over(order) for d in range(1, window)] + [
-        F.lead("genome_id", d).over(order) for d in range(1, window)
-    ]
-    return (
-        terms.withColumn("_g", F.array(*near))
-        .select("query_name", "genome_id", "unitig_id", "_g")
-        .select(
-            "query_name",
-            "genome_id",
-            F.explode(
-                F.concat(
-                    F.array(F.struct(F.lit("u").alias("kind"), F.col("unitig_id").cast("long").alias("neighbour"))),
-                    F.transform(
-                        F.filter("_g", lambda x: x.isNotNull()),
-                        lambda x: F.struct(F.lit("g").alias("kind"), x.cast("long").alias("neighbour")),
-                    ),
-                )
-            ).alias("_e"),
-        )
-        .select("query_name", "genome_id", "_e.kind", "_e.neighbour")
-    )
+def cooccurrence_edges(records: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(query_name, low, high, times): pairs of genomes that share a window, low < high, and how many
+    unitigs they share one under; with ``high`` null the unitigs that ``low`` stands under itself."""
+    each = records.select("query_name", "genomes", F.posexplode("genomes").alias("_at", "low"))
+    near = [F.get("genomes", F.col("_at") + d) for d in range(1, window)]
+    own = F.struct(F.lit(True).alias("own"), F.lit(None).cast("int").alias("high"))
+    ends = F.array(own, *[F.struct(F.lit(False).alias("own"), n.cast("int").alias("high")) for n in near])
+    rows = each.select("query_name", "low", F.explode(ends).alias("_e")).where("_e.own OR _e.high IS NOT NULL")
+    return rows.groupBy("query_name", "low", F.col("_e.high").alias("high")).agg(F.count(F.lit(1)).alias("times"))
 
 
 def unitig_information(nodes: DataFrame) -> DataFrame:
@@ -83,33 +72,43 @@ def unitig_information(nodes: DataFrame) -> DataFrame:
 
 def distinctive_terms(nodes: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per query and genome: ``degree`` (distinct neighbours), ``n_in`` (unitigs it stands in),
-    ``n_unitigs`` (of the record), ``n_records`` (with the genome), ``rarity`` and ``score``."""
-    members = memberships(nodes)
-    edges = cooccurrence_edges(members, window)
+    ``n_unitigs`` (of the record), ``n_records`` (with the genome), ``n_collection`` (records), ``rarity``
+    and ``score``."""
+    edges = cooccurrence_edges(records_of(nodes), window)
+    node = lambda g, n_in, n_g: F.struct(F.col(g).alias("genome_id"), n_in.alias("u"), n_g.alias("g"))
+    none, one, alone = F.lit(0).cast("long"), F.lit(1).cast("long"), F.col("high").isNull()
+    low = node("low", F.when(alone, F.col("times")).otherwise(none), F.when(alone, none).otherwise(one))
     degrees = (
-        edges.groupBy("query_name", "genome_id", "kind", "neighbour")
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .groupBy("query_name", "genome_id")
-        .agg(
-            F.count(F.lit(1)).alias("degree"),
-            F.count_if(F.col("kind") == "u").alias("n_in"),
-        )
+        edges.select("query_name", F.explode(F.array(low, node("high", none, one))).alias("_n"))
+        .where(F.col("_n.genome_id").isNotNull())
+        .groupBy("query_name", F.col("_n.genome_id").alias("genome_id"))
+        .agg((F.sum("_n.u") + F.sum("_n.g")).alias("degree"), F.sum("_n.u").alias("n_in"))
     )
-    # record sizes: from distinct unitigs of the rows themselves, combined before the shuffle
-    sizes = (
-        members.select("query_name", "unitig_id").distinct().groupBy("query_name").agg(F.count(F.lit(1)).alias("n_unitigs"))
-    )
-    total = nodes.agg(F.count_distinct("query_name").alias("n")).first()[0]
+    # record sizes: two columns of the rows themselves, combined before each shuffle
+    named = nodes.where(F.col("query_name").isNotNull())
+    sizes = named.where(F.col("unitig_id").isNotNull()).select("query_name", "unitig_id").distinct()
+    sizes = sizes.groupBy("query_name").agg(F.count(F.lit(1)).alias("n_unitigs"))
+    total = named.agg(F.greatest(F.count_distinct("query_name"), F.lit(1)).alias("n")).scalar()
     spread = degrees.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n_records"))
     out = salted_lookup(degrees, spread, "genome_id", F.col("query_name"))
-    out = salted_lookup(out, sizes, "query_name", F.col("genome_id"))
-    rarity = F.log(F.lit(float(max(total, 1))) / F.col("n_records"))
+    out = salted_lookup(out, sizes, "query_name", F.col("genome_id")).withColumn("n_collection", total)
+    rarity = F.log(F.col("n_collection") / F.col("n_records"))
     return out.withColumn("rarity", rarity).withColumn("score", F.col("degree") * F.col("rarity"))
 
 
-def marking_genomes(nodes: DataFrame, least_unitigs: int = 4, most_records: int = 2) -> DataFrame:
-    """Genomes in at least half of a record's unitigs and in at most ``most_records`` records."""
-    return distinctive_terms(nodes).where(
+def high_scores(scored: DataFrame, most_records: int) -> DataFrame:
+    """Rows whose score reaches what any genome scores that stands in half of its record and in at most
+    ``most_records`` records: its degree counts each of its unitigs, so it is at least half of the
+    record's, and its rarity is at least ln(records / most_records)."""
+    half = F.ceil(F.col("n_unitigs") / 2)
+    rare = F.greatest(F.log(F.col("n_collection") / F.lit(float(most_records))), F.lit(0.0))
+    return scored.where(F.col("score") >= half * rare - F.lit(1e-9))
+
+
+def marking_genomes(nodes: DataFrame, least_unitigs: int = 4, most_records: int = 2, window: int = WINDOW) -> DataFrame:
+    """Genomes in at least half of a record's unitigs and in at most ``most_records`` records: those of
+    high score, of which the exact counts are then checked."""
+    return high_scores(distinctive_terms(nodes, window), most_records).where(
         (F.col("n_unitigs") >= least_unitigs)
         & (2 * F.col("n_in") >= F.col("n_unitigs"))
         & (F.col("n_records") <= most_records)

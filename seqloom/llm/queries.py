@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seqloom.functions.names import species_of
 from seqloom.llm import digest as dg
 from seqloom.llm import distinctive, packing, records, set_join, shared_spans, text_quality, tokens, top_n
-from seqloom.session import table
+from seqloom.llm.skew import Spread
+from seqloom.session import cut, table
 
 # ---- 2 ---------------------------------------------------------------------
 
@@ -60,61 +62,84 @@ def _stated(summary):
     return summary.where(m.isNotNull() & ~F.isnan(m) & F.col("query_name").isNotNull() & F.col("species").isNotNull())
 
 
-def _in_period(rows, periods):
-    return rows.join(periods, ["query_name", "species"]).where(F.col("run_day").between(F.col("day_from"), F.col("day_to")))
+def _in_period(rows, periods, spread=None):
+    """Rows beside each period of their query and species; large groups are split by the measured ``spread``."""
+    on = ["query_name", "species"]
+    if spread is not None and spread.hot is not None:
+        rows, periods, on = spread.facts(rows, F.col("run_day")), spread.lookup(periods), [*on, "_salt"]
+    out = rows.join(periods, on).where(F.col("run_day").between(F.col("day_from"), F.col("day_to")))
+    return out.drop("_salt") if "_salt" in on else out
 
 
-def _period_rows(spark, sf_dir):
-    recs = records.usable_records(table(spark, sf_dir, "paf_records"), ["query_name", "species", "run_day"])
-    values = recs.select("query_name", "species", "run_day", "_salt", "identity")
-    periods = _stated(table(spark, sf_dir, "species_summary")).select(*PERIOD).distinct()
-    by_day = dg.digest(values, ["query_name", "species"], ["run_day", "_salt"], "identity")
-    return values, _in_period(by_day, periods)
+def _usable(spark, sf_dir):
+    """Usable records, and the sizes of groups by query, species and day, and by query and species."""
+    paf = table(spark, sf_dir, "paf_records")
+    named = paf.where(F.col("query_name").isNotNull()).select("query_name", species_of("target_name").alias("species"), "run_day")
+    by_pair = Spread.measure(named, ["query_name", "species"])
+    by_day = Spread.measure(named, ["query_name", "species", "run_day"]) if by_pair.hot is not None else Spread(["query_name", "species", "run_day"], None)
+    return records.usable_records(paf), by_day, by_pair
 
 
-def _period_medians(spark, sf_dir):
-    values, parts = _period_rows(spark, sf_dir)
-    bounds = dg.brackets(dg.merge(parts, PERIOD), PERIOD, F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
-    return dg.exact_medians(_in_period(values, bounds), PERIOD, "identity")
+def _day_digests(recs, by_day, value, delta=dg.DELTA):
+    rows = by_day.facts(recs.select("rec_id", "query_name", "species", "run_day", value), F.col("rec_id"))
+    return dg.digest(rows, ["query_name", "species"], ["run_day", "_salt"], value, delta)
 
 
-def p4_found(spark, sf_dir):
-    medians = _period_medians(spark, sf_dir)
-    return (
-        _stated(table(spark, sf_dir, "species_summary"))
-        .select("summary_id", "median_identity", *PERIOD)
-        .join(medians, PERIOD)
-        .where(F.abs(F.col("median_identity") - F.col("median")) > 0.005)
-        .select("summary_id")
-    )
+def _bounds(parts):
+    """Certain bounds of the median of each period, by merged digests."""
+    return dg.brackets(dg.merge(parts, PERIOD, FINE), PERIOD, F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
 
 
-QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
+FINE = 2_000.0  # size of the digests that medians are bounded by: steps of at most about 1/600 of the values
+TOLERANCE = 0.005
+MOST_OPEN = 100_000  # periods left open that may be broadcast (about 6 MB)
+
+
+def p4_found(spark, sf_dir):
+    """Stated medians that the bounds of merged digests contradict.  Where bounds leave it open the exact
+    median is selected between them."""
+    recs, by_day, by_pair = _usable(spark, sf_dir)
+    stated = _stated(table(spark, sf_dir, "species_summary")).select("summary_id", "median_identity", *PERIOD)
+    parts = _in_period(_day_digests(recs, by_day, "identity", FINE), stated.select(*PERIOD).distinct(), by_pair)
+    settled = cut(dg.settle(stated.join(_bounds(parts), PERIOD), "median_identity", TOLERANCE))
+    found = settled.where("off").select("summary_id")
+    left = settled.where("off IS NULL")
+    n = left.limit(MOST_OPEN + 1).count()
+    if not n:
+        return found
+    bounds = left.select(*PERIOD, "n", "lo", "hi").distinct()
+    bounds, by_pair = (F.broadcast(bounds), None) if n <= MOST_OPEN else (bounds, by_pair)
+    medians = dg.exact_medians(_in_period(recs.select("query_name", "species", "run_day", "identity"), bounds, by_pair), PERIOD, "identity")
+    again = left.join(medians.select(*PERIOD, "median"), PERIOD).where(F.abs(F.col("median_identity") - F.col("median")) > TOLERANCE)
+    return found.unionByName(again.select("summary_id"))
 
 
-def _percentiles(rows, keys, parts, name, value):
-    merged = dg.merge(dg.digest(rows, keys, parts, value), keys)
-    est = dg.estimate(merged, keys, QUANTILES)
-    return dg.certify(rows, keys, value, est).select(*keys, F.lit(name).alias("measure"), "quantile", "n", "estimate", "rank_error")
+QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 def p4_species(spark, sf_dir):
     """Percentiles of each species alone, out of its digests by day, with certified rank error."""
-    recs = records.usable_records(table(spark, sf_dir, "paf_records"), ["species", "run_day"]).where(F.col("species").isNotNull())
-    a = _percentiles(recs, ["species"], ["run_day", "_salt"], "identity", "identity")
-    b = _percentiles(recs, ["species"], ["run_day", "_salt"], "alignment_len", "alignment_len")
-    return a.unionByName(b)
+    paf = table(spark, sf_dir, "paf_records")
+    recs = records.usable_records(paf).where(F.col("species").isNotNull())
+    sizes = Spread.measure(paf.select(species_of("target_name").alias("species"), "run_day"), ["species", "run_day"])
+
+    def one(name):
+        rows = sizes.facts(recs.select("rec_id", "species", "run_day", name), F.col("rec_id"))
+        est = dg.estimate(dg.merge(dg.digest(rows, ["species"], ["run_day", "_salt"], name), ["species"]), ["species"], QUANTILES)
+        return dg.certify(recs, ["species"], name, est).select("species", F.lit(name).alias("measure"), "quantile", "n", "estimate", "rank_error")
+
+    return one("identity").unionByName(one("alignment_len"))
 
 
 def p4_periods(spark, sf_dir):
     """Percentiles of each query, species and period of a summary, with certified rank error."""
-    recs = records.usable_records(table(spark, sf_dir, "paf_records"), ["query_name", "species", "run_day"])
+    recs, by_day, by_pair = _usable(spark, sf_dir)
     periods = _stated(table(spark, sf_dir, "species_summary")).select(*PERIOD).distinct()
 
     def one(name):
-        by_day = dg.digest(recs, ["query_name", "species"], ["run_day", "_salt"], name)
-        est = dg.estimate(dg.merge(_in_period(by_day, periods), PERIOD), PERIOD, QUANTILES)
-        out = dg.certify(_in_period(recs, periods), PERIOD, name, est)
+        parts = _in_period(_day_digests(recs, by_day, name), periods, by_pair)
+        est = dg.estimate(dg.merge(parts, PERIOD), PERIOD, QUANTILES)
+        out = dg.certify(_in_period(recs, periods, by_pair), PERIOD, name, est)
         return out.select(*PERIOD, F.lit(name).alias("measure"), "quantile", "n", "estimate", "rank_error")
 
     return one("identity").unionByName(one("alignment_len"))

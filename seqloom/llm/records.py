@@ -1,4 +1,4 @@
-"""Usable alignment records: validity and exact duplicates, in one shuffle.
+"""Usable alignment records: validity and exact copies, in one shuffle.
 
 A record is usable if query_name, num_matches and alignment_len are not null,
 alignment_len > 0 and 0 <= num_matches <= alignment_len.  Rows that agree in
@@ -30,13 +30,9 @@ def content_key() -> list[Column]:
     return [F.xxhash64(F.lit(17), line).alias("_key_a"), F.xxhash64(line, F.lit(40961)).alias("_key_b")]
 
 
-def usable_records(paf: DataFrame, spread: list[str], salts: int = 8) -> DataFrame:
-    """Distinct usable records with species, identity and ``_salt``.
-
-    Partitioned by ``spread`` and a salt made of the content, so that equal rows
-    meet, no group needs one task, and windows or groups over these columns and
-    the salt need no further shuffle.
-    """
+def usable_records(paf: DataFrame) -> DataFrame:
+    """Distinct usable records with species and identity.  Copies are combined before the shuffle, which
+    goes by the content, so rows are spread evenly whatever group they belong to."""
     ok = (
         F.col("query_name").isNotNull()
         & F.col("num_matches").isNotNull()
@@ -44,19 +40,8 @@ def usable_records(paf: DataFrame, spread: list[str], salts: int = 8) -> DataFra
         & (F.col("num_matches") >= 0)
         & (F.col("num_matches") <= F.col("alignment_len"))
     )
-    a, b = content_key()
-    rows = (
-        paf.where(ok)
-        .select(
-            "rec_id", "query_name", species_of("target_name").alias("species"), "run_day", "num_matches",
-            "alignment_len", a, b,
-        )
-        .withColumn("_salt", F.pmod(F.col("_key_a"), F.lit(salts)).cast("int"))
-        .repartition(*spread, "_salt")
-    )
-    # what is not in the key follows from the content, so any value of the group is the value
-    kept = rows.groupBy(*spread, "_salt", "_key_a", "_key_b").agg(
-        F.min("rec_id").alias("rec_id"),
-        *[F.first(c).alias(c) for c in ("query_name", "species", "run_day", "num_matches", "alignment_len") if c not in spread],
-    )
-    return kept.drop("_key_a", "_key_b").withColumn("identity", F.col("num_matches") / F.col("alignment_len"))
+    # beside the key, what is kept follows from the content
+    kept = ["query_name", "species", "run_day", "num_matches", "alignment_len"]
+    rows = paf.where(ok).withColumn("species", species_of("target_name")).select("rec_id", *kept, *content_key())
+    one = rows.groupBy(*kept, "_key_a", "_key_b").agg(F.min("rec_id").alias("rec_id"))
+    return one.select("rec_id", *kept, (F.col("num_matches") / F.col("alignment_len")).alias("identity"))

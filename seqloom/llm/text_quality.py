@@ -113,19 +113,45 @@ def token_features(fragment: str, common: frozenset[str]) -> tuple[int, ...]:
 
 
 class Judge:
-    """Features by distinct token, kept from batch to batch of a worker."""
+    """Features by distinct token, kept for the life of a worker: one column a field, a place a token."""
+
+    _made: dict[frozenset[str], Judge] = {}
 
     def __init__(self, common: frozenset[str]):
         self.common = common
-        self.cache: dict[bytes, tuple[int, ...]] = {}
-
-    def _features(self, fragment: bytes) -> tuple[int, ...]:
-        f = self.cache.get(fragment)
-        if f is None:
-            f = token_features(fragment.decode("utf-8", "replace"), self.common)
-            if len(fragment) <= 64:
-                self.cache[fragment] = f
-        return f
+        self._forget()
+
+    @classmethod
+    def of(cls, common: frozenset[str]) -> Judge:
+        if common not in cls._made:
+            cls._made.clear()
+            cls._made[common] = cls(common)
+        return cls._made[common]
+
+    def _forget(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.table = np.zeros((len(_FIELDS), 1 << 14), np.int32)
+        self.used = 0
+
+    def _places(self, fragments: list[bytes]) -> np.ndarray:
+        """Place of each fragment in the table; new ones are worked out.  Long ones are not kept for later."""
+        if self.used > CACHE_ENTRIES:
+            self._forget()
+        found = [self.places.get(f, -1) for f in fragments]
+        out = np.array(found, np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            rows = np.array([token_features(fragments[i].decode("utf-8", "replace"), self.common) for i in new.tolist()], np.int32)
+            end = self.used + len(new)
+            if end > self.table.shape[1]:
+                wider = np.zeros((len(_FIELDS), 2 * end), np.int32)
+                wider[:, : self.used] = self.table[:, : self.used]
+                self.table = wider
+            self.table[:, self.used : end] = rows.T
+            out[new] = np.arange(self.used, end)
+            self.places.update((fragments[i], p) for i, p in zip(new.tolist(), range(self.used, end)) if len(fragments[i]) <= 64)
+            self.used = end
+        return out
 
     def judge(self, data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         """Statistics of each text; ``data`` holds the bytes of all, ``starts`` n + 1 offsets."""
@@ -144,23 +170,26 @@ class Judge:
         begin[-1] = True
         offsets = np.flatnonzero(begin).astype(np.int32)
         if len(offsets) < 2:
-            return self._documents(np.zeros((0, len(_FIELDS)), np.int64), np.zeros(0, np.int64), n)
+            return self._documents(np.zeros(0, np.int64), np.zeros(0, np.int64), n)
         frags = pa.BinaryArray.from_buffers(
             pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]
         ).dictionary_encode()
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        table = np.array([self._features(f) for f in frags.dictionary.to_pylist()], np.int32).reshape(-1, len(_FIELDS))
-        code = frags.indices.to_numpy()
-        feats = table[code]
-        doc = np.searchsorted(starts, offsets[:-1], "right") - 1
-        real = feats[:, _AT["real"]] > 0
-        return self._documents(feats[real], doc[real], n, code[real])
-
-    def _documents(self, f: np.ndarray, doc: np.ndarray, n: int, code: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        col = lambda name: f[:, _AT[name]]
+        code = self._places(frags.dictionary.to_pylist())[frags.indices.to_numpy()]
+        doc = np.repeat(np.arange(n), np.diff(np.searchsorted(offsets[:-1], starts)))
+        real = self.table[_AT["real"]][code] > 0
+        return self._documents(code[real], doc[real], n)
+
+    def _documents(self, code: np.ndarray, doc: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        """``code``: places of the tokens of all texts in order; ``doc``: the text of each."""
+        columns: dict[str, np.ndarray] = {}
+
+        def col(name):
+            if name not in columns:
+                columns[name] = self.table[_AT[name]][code]
+            return columns[name]
+
         per = lambda w, by=doc, k=n: np.bincount(by, weights=w, minlength=k)
-        m = len(f)
+        m = len(code)
         out: dict[str, np.ndarray] = {}
         words = per(np.ones(m))
         chars = per(col("chars"))
@@ -348,7 +377,7 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc
     names = ["_id", *[x.split()[0] for x in _SCHEMA.split(", ")]]
 
     def run(batches):
-        judge = Judge(common)
+        judge = Judge.of(common)
         for batch in batches:
             for a, b, data, starts in text_slices(batch.column(1), 4 << 20):
                 out = _result(judge.judge(data, starts))

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,32 @@ def test_distinctive_terms(spark):
         assert r["score"] == pytest.approx(r["degree"] * np.log(4 / r["n_records"]))
 
 
+def test_marking_genomes_come_by_their_score(spark):
+    """Every case scores high whatever the window; the window decides which others do."""
+    rng = random.Random(5)
+    rows = []
+    for q in range(30):
+        own = [100 + q, 200 + q // 2]
+        rows += [(f"q{q}", u, [g for g in own if rng.random() < 0.7] + rng.sample(range(12), rng.randrange(6)), 1, "x") for u in range(rng.randrange(2, 9))]
+    df = spark.createDataFrame(rows, NODES)
+    cases, high = {}, {}
+    for w in (1, 2, 6):
+        scored = distinctive.distinctive_terms(df, w)
+        high[w] = {(r["query_name"], r["genome_id"]) for r in distinctive.high_scores(scored, 2).collect()}
+        cases[w] = {(r["query_name"], r["genome_id"]) for r in distinctive.marking_genomes(df, window=w).collect()}
+    record, inside = defaultdict(set), defaultdict(set)
+    for q, u, gs, *_ in rows:
+        record[q].add(u)
+        for g in gs:
+            inside[q, g].add(u)
+    spread = defaultdict(set)
+    for q, g in inside:
+        spread[g].add(q)
+    want = {(q, g) for (q, g), us in inside.items() if len(record[q]) >= 4 and 2 * len(us) >= len(record[q]) and len(spread[g]) <= 2}
+    assert want and cases[1] == cases[2] == cases[6] == want
+    assert want <= high[1] <= high[2] <= high[6] and len(high[1]) < len(high[6]) < len(inside)
+
+
 def test_distinctive_empty(spark):
     empty = spark.createDataFrame([], NODES)
     assert distinctive.distinctive_terms(empty).count() == 0 == distinctive.marking_genomes(empty).count()
@@ -59,8 +86,11 @@ def jaccard_pairs(sets, t, least):
     return {(a, b) for a, b in itertools.combinations(ids, 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9}
 
 
-@pytest.mark.parametrize("hot,t", [(0, 0.6), (2, 0.8), (200, 0.8)])
-def test_similar_pairs(spark, hot, t):
+@pytest.mark.parametrize("hot,t,block", [(0, 0.6, 3), (2, 0.8, 2000), (200, 0.8, 2000), (1, 0.3, 5), (0, 0.05, 40)])
+def test_similar_pairs(spark, monkeypatch, hot, t, block):
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    monkeypatch.setattr(set_join.class_pairs, "__defaults__", (200, block))
+    least = 3 if t > 0.3 else 1
     rng = random.Random(hot + int(10 * t))
     sets = {}
     for i in range(70):
@@ -69,15 +99,37 @@ def test_similar_pairs(spark, hot, t):
     sets[90] = sets[91] = sets[92] = set(range(0, 8))
     rows = [(i, x, "c") for i, s in sets.items() for x in s] * 2 + [(None, 3, "c"), (5, None, "c"), (99, None, "c")]
     df = spark.createDataFrame(rows, "id int, token int, n string")
-    got = [(r["id_a"], r["id_b"]) for r in set_join.similar_pairs(df, t, 3, hot).collect()]
-    assert len(got) == len(set(got)) and set(got) == jaccard_pairs(sets, t, 3)
+    got = [(r["id_a"], r["id_b"]) for r in set_join.similar_pairs(df, t, least, hot).collect()]
+    assert len(got) == len(set(got)) and set(got) == jaccard_pairs(sets, t, least)
+
+
+@pytest.mark.parametrize("hot,t", [(0, 0.7), (200, 0.5)])
+def test_similar_pairs_of_two_tables(spark, monkeypatch, hot, t):
+    monkeypatch.setattr(set_join, "BLOCK", 4)
+    rng = random.Random(hot)
+    make = lambda: {x for x in rng.choice([range(0, 8), range(3, 12)]) if rng.random() < 0.8}
+    a, b = {i: make() for i in range(40)}, {i: make() for i in range(20, 50)}
+    frame = lambda d: spark.createDataFrame([(i, str(x)) for i, s in d.items() for x in s], "id int, token string")
+    got = [(r["id_left"], r["id_right"]) for r in set_join.similar_pairs_between(frame(a), frame(b), t, 1, hot).collect()]
+    want = {(i, j) for i, s in a.items() for j, u in b.items() if s and u and len(s & u) / len(s | u) >= t}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_tokens_may_hold_any_character(spark):
+    rows = [(1, "a,b"), (1, "c"), (2, "a"), (2, "b,c"), (3, 'a","b'), (3, "c"), (4, "a"), (4, "b"), (4, "c"), (5, "c"), (5, "a,b")]
+    df = spark.createDataFrame(rows, "id int, token string")
+    assert [tuple(r) for r in set_join.similar_pairs(df, 0.8, 1).collect()] == [(1, 5)]
+    assert sorted(tuple(r) for r in set_join.linked_classes(df, 0.8, 1).collect() if r["n_links"]) == [(1, 1, 1), (5, 1, 1)]
 
 
 def test_similar_pairs_edges(spark):
     df = spark.createDataFrame([], "id int, token int")
     assert set_join.similar_pairs(df).count() == 0 == set_join.linked_classes(df).count()
-    with pytest.raises(ValueError):
-        set_join.similar_pairs(df, 0.5)
+    for wrong in (0.0, 1.1):
+        with pytest.raises(ValueError):
+            set_join.similar_pairs(df, wrong)
+    strings = spark.createDataFrame([], "id string, token string")
+    assert set_join.similar_pairs_between(strings, strings).count() == 0
 
 
 # ---- digests ---------------------------------------------------------------------
@@ -111,22 +163,67 @@ def test_digest_bounds(spark):
     assert set(med) == {"big", "small", "ties"}
 
 
-def test_period_medians_come_from_merged_digests(spark, monkeypatch):
-    import numpy as np
-
-    from seqloom.llm import queries
+def test_medians_are_settled_by_merged_digests(spark, monkeypatch):
+    from seqloom.llm import queries, skew
 
+    monkeypatch.setattr(skew, "LEAST", 300)
     rng = np.random.default_rng(2)
-    rows = [("q", "s", int(d), int(i % 4), float(x)) for i, (d, x) in enumerate(zip(rng.integers(0, 9, 6000), rng.normal(size=6000).round(2)))]
-    values = spark.createDataFrame(rows, "query_name string, species string, run_day int, _salt int, identity double")
-    parts = digest.digest(values, ["query_name", "species"], ["run_day", "_salt"], "identity")
+    rows = [(i, "q", "s", int(d), float(x)) for i, (d, x) in enumerate(zip(rng.integers(0, 9, 6000), rng.normal(size=6000).round(3)))]
+    recs = spark.createDataFrame(rows, "rec_id long, query_name string, species string, run_day int, identity double")
+    spread, pairs = skew.Spread.measure(recs, ["query_name", "species", "run_day"]), skew.Spread.measure(recs, ["query_name", "species"])
+    assert spread.hot.count() == 9 and pairs.hot.first()["_salts"] == 20
+    parts = queries._day_digests(recs, spread, "identity")
     periods = spark.createDataFrame([("q", "s", 2, 7)], "query_name string, species string, day_from int, day_to int")
-    monkeypatch.setattr(queries, "_period_rows", lambda *_: (values, queries._in_period(parts, periods)))
-    sizes, brackets = [], digest.brackets
-    monkeypatch.setattr(digest, "brackets", lambda d, *a: sizes.append(d.count()) or brackets(d, *a))
-    got = queries._period_medians(spark, "").collect()
-    assert sizes[0] <= 2 * digest.DELTA < queries._in_period(parts, periods).count()
-    assert got[0]["median"] == np.median([r[4] for r in rows if 2 <= r[2] <= 7])
+    inside = queries._in_period(parts, periods, pairs)
+    true = float(np.median([r[4] for r in rows if 2 <= r[3] <= 7]))
+    assert digest.merge(inside, queries.PERIOD).count() <= digest.DELTA < inside.count() < 4000
+    b = queries._bounds(inside).first()
+    assert b["lo"] <= true <= b["hi"] < b["lo"] + 0.1 and b["n"] == sum(2 <= r[3] <= 7 for r in rows)
+    # far off, close by, and too near the limit to tell
+    stated = spark.createDataFrame([(1, true + 0.5), (2, true), (3, true + 0.2), (4, b["hi"] - 0.2)], "id int, m double")
+    off = {r["id"]: r["off"] for r in digest.settle(stated.withColumn("lo", F.lit(b["lo"])).withColumn("hi", F.lit(b["hi"])), "m", 0.2).collect()}
+    assert off[1] is True and off[2] is False and (off[3] is None or b["lo"] == b["hi"])
+
+
+def paf_frame(spark, rows):
+    """(rec_id, query_name, target_name, num_matches, alignment_len, run_day)"""
+    frame = spark.createDataFrame(rows, "rec_id long, query_name string, target_name string, num_matches int, alignment_len int, run_day int")
+    date = F.date_add(F.lit("2020-01-01").cast("date"), F.col("run_day"))
+    fill = {c: F.lit(1).cast(t) for c, t in (("query_len", "int"), ("query_start", "int"), ("query_end", "int"), ("target_len", "long"), ("target_start", "long"), ("target_end", "long"), ("mapq", "int"))}
+    return frame.withColumn("run_day", date).withColumns(fill).withColumn("strand", F.lit("+")).withColumn("tags", F.array(F.lit("t")))
+
+
+@pytest.mark.parametrize("fine,most", [(2000.0, 100_000), (8.0, 100_000), (8.0, 0)])
+def test_wrong_medians_are_found(spark, monkeypatch, tmp_path, fine, most):
+    """Also with digests so small that the bounds leave nearly all open, and with a hot group."""
+    from seqloom.llm import queries, skew
+
+    monkeypatch.setattr(skew, "LEAST", 100)
+    monkeypatch.setattr(queries, "FINE", fine)
+    monkeypatch.setattr(queries, "MOST_OPEN", most)
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["q", "q", "q", "r", "s"]), rng.choice(["a_b_1.fa", "a_b", "c.d"]), rng.randrange(500, 1001), 1000, rng.randrange(20)) for i in range(1500)]
+    rows += [(5000 + r[0], *r[1:]) for r in rows[:200]]  # sent again
+    distinct = {r[1:] for r in rows}
+    values = defaultdict(list)
+    for q, t, m, n, d in distinct:
+        values[q, "a_b" if t[0] == "a" else "c_d"].append((d, m / n))
+    stated = []
+    for i in range(60):
+        q, s = rng.choice(sorted(values))
+        lo = rng.randrange(15)
+        hi = lo + rng.randrange(8)
+        v = [x for d, x in values[q, s] if lo <= d <= hi]
+        if v:
+            stated.append((i, q, s, float(np.median(v)) + rng.choice([0, 0.002, -0.0049, 0.0051, 0.2, -0.3]), lo, hi))
+    want = sorted(i for i, q, s, m, lo, hi in stated if abs(m - np.median([x for d, x in values[q, s] if lo <= d <= hi])) > 0.005)
+    stated += [(100, "q", "a_b", None, 0, 9), (101, "q", "a_b", float("nan"), 0, 9), (102, "none", "a_b", 0.5, 0, 9), (103, None, "a_b", 0.5, 0, 9)]
+    day = lambda c: F.date_add(F.lit("2020-01-01").cast("date"), F.col(c))
+    summary = spark.createDataFrame(stated, "summary_id long, query_name string, species string, median_identity double, a int, b int")
+    summary = summary.select("summary_id", "query_name", "species", "median_identity", day("a").alias("day_from"), day("b").alias("day_to"))
+    frames = {"paf_records": paf_frame(spark, rows), "species_summary": summary}
+    monkeypatch.setattr(queries, "table", lambda _, __, name: frames[name])
+    assert sorted(r[0] for r in queries.p4_found(spark, "").collect()) == want
 
 
 def test_digest_empty(spark):
@@ -176,6 +273,56 @@ def test_shared_spans(spark, monkeypatch, n, chunk, cells):
     assert share[41]["share"] == 1.0 and share[42]["share"] == 0.0 and len(share) == len(texts) + 1
 
 
+def spans_of(spark, texts, n, **more):
+    """texts: {id: text} or [(id, text)]; as unitigs."""
+    rows = list(texts.items()) if isinstance(texts, dict) else texts
+    a = spark.createDataFrame([], "seq_id long, seq string")
+    b = spark.createDataFrame(rows, "unitig_id int, sequence string")
+    found = shared_spans.shared_spans(shared_spans.all_records(a, b), n, **more)
+    return sorted((r["rec_id"], r["span_start"], r["span_end"]) for r in shared_spans.named(found).collect())
+
+
+def test_shared_spans_where_little_is_shared(spark, monkeypatch):
+    """Chunks without a repeated window, buckets with runs alone, records that share nothing at all."""
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    assert spans_of(spark, {i: make(200) for i in range(6)}, 20) == []
+    monkeypatch.setattr(shared_spans.chunk_windows, "__defaults__", (64,))
+    same = make(30)
+    texts = {i: make(200) for i in range(6)} | {7: same + make(100), 8: make(300) + same}
+    assert spans_of(spark, texts, 20) == brute_spans_sorted(texts, 20)
+    monkeypatch.setattr(shared_spans, "BUCKET_WINDOWS", 3)
+    assert spans_of(spark, texts, 20) == brute_spans_sorted(texts, 20)
+    assert spans_of(spark, {1: same, 2: same.lower()}, 30) == [(1, 0, 30), (2, 0, 30)]
+
+
+def brute_spans_sorted(texts, n):
+    return sorted(brute_spans(texts, n))
+
+
+def test_shared_spans_of_odd_rows(spark):
+    """Characters of several bytes are one position; ids with several texts keep the longest."""
+    word = "ACGGTCATTAGCCGTA"
+    assert spans_of(spark, {1: "é漢😀" + word + "é", 2: "N" + word}, 16) == [(1, 3, 19), (2, 1, 17)]
+    assert spans_of(spark, [(1, word), (1, "T" * 40), (2, "A" + word), (3, word + "C"), (3, word + "C")], 16) == [(2, 1, 17), (3, 0, 16)]
+    assert spans_of(spark, [(1, word), (1, word), (1, word.lower())], 16) == []  # copies are one record
+
+
+def test_groups_of_one_hash():
+    h, w, rec = np.zeros(5, np.uint64), [np.array([1, 2, 1, 2, 3])], np.array([1, 1, 2, 1, 1])
+    order, first, several = shared_spans._groups(h, w, rec)
+    assert [w[0][order[f]] for f in first] == [1, 2, 3] and several.tolist() == [True, False, False]
+    assert all(len(x) == 0 for x in shared_spans._groups(h[:0], [w[0][:0]], rec[:0]))
+
+
+def test_sketch_merges_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "MERGE_WIDTH", 2)
+    monkeypatch.setattr(shared_spans, "TASK_BITS", 3)
+    rng = random.Random(4)
+    texts = {i: "".join(rng.choice("ACGT") for _ in range(60)) for i in range(8)} | {9: "ACGTTGCA" * 8, 11: "ACGTTGCA" * 7}
+    assert spans_of(spark, texts, 24) == brute_spans_sorted(texts, 24)
+
+
 def test_shared_spans_empty(spark):
     a = spark.createDataFrame([], "seq_id long, seq string")
     b = spark.createDataFrame([], "unitig_id int, sequence string")
@@ -282,17 +429,72 @@ def best_packing(sizes, cap):
     return best[0]
 
 
-def test_bins_are_few_and_whole():
+def undominated(sizes, room):
+    """All feasible subsets of a multiset that no exchange betters, by trying all."""
+    out = set()
+    for k in range(len(sizes) + 1):
+        for pick in itertools.combinations(range(len(sizes)), k):
+            a = [sizes[i] for i in pick]
+            rest = room - sum(a)
+            if rest < 0:
+                continue
+            left = [sizes[i] for i in range(len(sizes)) if i not in pick]
+            subsets = [c for m in range(len(a) + 1) for c in itertools.combinations(a, m)]
+            if not any(sum(c) <= x <= sum(c) + rest and not (len(c) == 1 and c[0] == x) for x in left for c in subsets):
+                out.add(tuple(sorted(a, reverse=True)))
+    return out
+
+
+def test_fillings_are_the_undominated_ones():
+    assert (5, 3, 2) in undominated([6, 5, 4, 3, 2], 10) and (6, 4) in undominated([6, 5, 4, 3, 2], 10)
+    rng = random.Random(3)
+    for _ in range(150):
+        sizes = [rng.randrange(1, 25) for _ in range(rng.randrange(1, 9))]
+        room = rng.randrange(1, 50)
+        got = [f for f in packing.fillings(packing._Stock(sizes), room, room) if f]
+        assert len(got) == len(set(got)) and {s for _, s in got} == undominated(sizes, room)
+        assert all(w == room - sum(s) for w, s in got)
+
+
+def check_bins(sizes, cap, **more):
+    bins = packing.bin_completion(sizes, cap, **more)
+    assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= cap for b in bins)
+    return len(bins)
+
+
+def test_bin_completion_is_optimal_on_small_instances():
+    assert check_bins([6, 6, 2, 7, 12, 4, 6, 11, 8, 6, 5, 6], 20) == 4
+    assert check_bins([14, 29, 16, 26, 18, 30, 23, 16, 52, 14, 45, 15], 100) == 3
     rng = random.Random(6)
-    for _ in range(60):
-        sizes = [rng.randrange(1, 70) for _ in range(rng.randrange(1, 11))]
-        bins = packing.bin_completion(sizes, 100)
-        flat = sorted(s for b, m in bins for _ in range(m) for s in b)
-        assert flat == sorted(sizes) and all(sum(b) <= 100 for b, _ in bins)
-        n = sum(m for _, m in bins)
-        assert n <= len(packing.best_fit_decreasing(sizes, 100)) and n <= best_packing(sizes, 100) + 1
+    for i in range(1000):
+        low, high = [(1, 70), (15, 50), (20, 45), (1, 100)][i % 4]
+        sizes = [rng.randrange(low, high + 1) for _ in range(rng.randrange(1, 14))]
+        n = best_packing(sizes, 100)
+        assert packing.lower_bound(sizes, 100) <= n == check_bins(sizes, 100)
+
+
+def test_bin_completion_beats_best_fit():
     hard = [51, 27, 23] * 20 + [49, 25, 26] * 20  # best fit alone leaves room here
-    assert sum(m for _, m in packing.bin_completion(hard, 101)) <= len(packing.best_fit_decreasing(hard, 101))
+    assert check_bins(hard, 101) < len(packing.best_fit_decreasing(hard, 101))
+    fewer = 0
+    for seed in range(40):
+        rng = random.Random(seed)
+        sizes = [rng.randrange(15, 45) for _ in range(60)]
+        n, fit = check_bins(sizes, 100), len(packing.best_fit_decreasing(sizes, 100))
+        assert n <= fit
+        fewer += n < fit
+    assert fewer >= 10
+    assert check_bins(sizes, 100, nodes=0, least_nodes=0) == fit  # no search: the first incumbent
+    assert check_bins([1] * 5000 + [2048, 2047], 2048) == 5
+
+
+def test_thin_containers_are_packed_again():
+    names = ["_id", "piece", "first_token", "n_tokens", "bin_id", "_home"]
+    rows = [(1, 0, 0, 600, 7, -1), (2, 0, 0, 600, 8, -1), (3, 0, 0, 600, 9, -1), (4, 0, 0, 2000, 1, 0), (5, 0, 0, 900, 3, -2), (6, 0, 0, 0, None, 0)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    got = {r["_id"]: r["bin_id"] for b in packing.repack([batch, batch.slice(0, 0)], 2048, 8) for r in b.to_pylist()}
+    assert got[1] == got[2] == got[3] > 1 << 60 and (got[4], got[5], got[6]) == (1, 3, None)
 
 
 def test_assign_keeps_capacity():
