@@ -8,7 +8,7 @@ from seqloom.plans import registry
 
 ALLOWED = {"index_growth": {"shard_id"}}  # one row a shard
 NAMES = [
-    "kmer_set_overlap",
+    "best_chains", "kmer_set_overlap",
 ]
 
 
