@@ -8,7 +8,7 @@ from seqloom.plans import registry
 
 ALLOWED = {"index_growth": {"shard_id"}}  # one row a shard
 NAMES = [
-    "best_chains", "index_growth", "kmer_set_overlap",
+    "best_chains", "index_growth", "kmer_set_overlap", "prevalence",
 ]
 
 
