@@ -8,7 +8,7 @@ from seqloom.plans import registry
 
 ALLOWED = {"index_growth": {"shard_id"}}  # one row a shard
 NAMES = [
-    "aligned_hits", "aligned_hits_graph", "best_chains", "index_growth", "kmer_set_overlap", "prevalence",
+    "aligned_hits", "aligned_hits_graph", "best_chains", "index_growth", "kmer_set_overlap", "longest_matches", "maximal_matches", "prevalence",
 ]
 
 
