@@ -9,7 +9,7 @@ from seqloom.plans import registry
 ALLOWED = {"index_growth": {"shard_id"}}  # one row a shard
 NAMES = [
     "aligned_hits", "aligned_hits_graph", "best_chains", "containment_adaptive", "index_growth", "kmer_set_overlap", "longest_matches", "maximal_matches",
-    "prevalence",
+    "prevalence", "seed_features",
 ]
 
 
