@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from seqloom.plans import registry
+from seqloom.plans import registry, reporting
+from seqloom.plans.domain import contigs
 
 ALLOWED = {"index_growth": {"shard_id"}}  # one row a shard
 NAMES = [
@@ -28,3 +29,7 @@ def broadcast_keys(df):
 @pytest.mark.parametrize("name", NAMES)
 def test_words_are_not_broadcast(generous, data, name):
     assert broadcast_keys(registry.queries()[name](generous, data)) <= ALLOWED.get(name, set())
+
+
+def test_ends_of_words_are_not_broadcast(generous, data):
+    assert not broadcast_keys(reporting.graph_ends(contigs(generous, data), 31))
