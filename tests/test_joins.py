@@ -9,7 +9,7 @@ from seqloom.plans.domain import contigs
 
 ALLOWED = {"index_growth": {"shard_id"}}  # one row a shard
 NAMES = [
-    "aligned_hits", "aligned_hits_graph", "best_chains", "containment_adaptive", "containment_pigeonhole", "index_growth", "kmer_set_overlap",
+    "aligned_hits", "aligned_hits_graph", "best_chains", "containment_adaptive", "containment_pigeonhole", "hit_gfa", "index_growth", "kmer_set_overlap",
     "longest_matches", "maximal_matches", "prevalence", "seed_features", "sprt_decisions",
 ]
 
