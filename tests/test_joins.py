@@ -33,3 +33,7 @@ def test_words_are_not_broadcast(generous, data, name):
 
 def test_ends_of_words_are_not_broadcast(generous, data):
     assert not broadcast_keys(reporting.graph_ends(contigs(generous, data), 31))
+
+
+def test_signal_words_are_not_broadcast(generous, data):
+    assert not broadcast_keys(registry.queries()["signal_genomes"](generous, data)) & {"word", "read_id"}
